@@ -39,12 +39,19 @@ def fold_of(column: str = "doc_id", folds: int = 5) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that go to Python, by bytes and rows: long texts must not add up to gigabytes."""
+    for name, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 8 << 20)):
+        spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+
+
 def map_column(df: DataFrame, column: str, setup: Callable[[], Callable], fields: list[T.StructField], keep: Sequence[str]) -> DataFrame:
     """Rows of df with the columns in keep and new fields made from one column.
 
     setup() runs once in each task and returns a function from a list of values to one list for each field. A kept column
     that has the name of a new field is left out, so that the operator's own result stands.
     """
+    small_batches(df.sparkSession)
     made = {f.name for f in fields}
     keep = [k for k in keep if k not in made]
     schema = T.StructType([df.schema[k] for k in keep] + fields)
