@@ -125,6 +125,36 @@ def confirmed(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     return whole.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
+def differences(family: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    """(hub, mark, id, size, c): shingles in which a member differs from its hub, as many as any link to another member needs.
+
+    Let D be the symmetric difference of a member's set and its hub's. Two members f, g with |f ^ g| <= u (|f| + |g|), where
+    u = (100 - pct) / (100 + pct), share (|Df| + |Dg| - |f ^ g|) / 2 elements of D or more, and |f ^ g| is at most
+    S = u |f| (1 + 100 / pct). If neither is linked to the hub by itself, or one is not, that is at least one element, and at least
+    |Df| - S of them; so in one order for the whole family (what the hub lacks first, then by value) the
+    first S + 1 elements of each D must meet. Copies of a template with edits of their own so meet in nothing.
+    """
+    u, wide = (100 - pct) / (100 + pct), 1 + 100 / pct
+    left = sets.select("id", F.col("set").alias("own"))
+    right = sets.select(F.col("id").alias("hub"), F.col("set").alias("hub_set"))
+    whole = family.join(left, "id").join(right, "hub").select("hub", "id", "size", "c", "own", "hub_set")
+    schema = T.StructType([T.StructField("marks", T.ArrayType(T.LongType())), *(whole.schema[k] for k in ("hub", "id", "size", "c"))])
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            marks = []
+            for x, y in zip(batch.column(4), batch.column(5), strict=True):
+                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                most = math.floor(u * wide * len(p) + 1e-9) + 1
+                d = np.concatenate([np.setdiff1d(p, q, assume_unique=True), np.setdiff1d(q, p, assume_unique=True)])
+                marks.append((d[:most] ^ np.uint64(1 << 63)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(marks, pa.list_(pa.int64())), *(batch.column(k) for k in range(4))], names=schema.names)
+
+    return whole.mapInArrow(run, schema).select("hub", F.explode("marks").alias("mark"), "id", "size", "c")
+
+
 def classes(docs: DataFrame, *, n: int = 5, pct: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of docs: key, n_shingles, component_id, kept, n_links.
 
@@ -133,10 +163,10 @@ def classes(docs: DataFrame, *, n: int = 5, pct: int = 80, text: str = "text", k
     between different sets that touch the row's set while components were found (links inside a known component are not searched).
 
     How: texts with one set form one class (exact copies never meet as pairs). Min-max signatures of class
-    representatives are banded; in each bucket all members are first compared with the bucket's smallest member, and
-    only members that are still in different components after that are compared with each other. Pairs are confirmed
-    on full sets, so no false link is kept; a link at the threshold is missed with a probability below 1e-7.
-    There is no cap on buckets or partners.
+    representatives are banded; in each bucket all members are compared with the bucket's smallest member, its hub. Members
+    that stay in different components meet again only where they differ from the hub in the same shingles (differences()
+    says why no link is lost), again first with the smallest of such a group. Pairs are confirmed on full sets, so no
+    false link is kept; a link at the threshold is missed with a probability below 1e-7. There is no cap on buckets or partners.
 
     Null and empty texts have no shingles and are linked with nothing. Keys should be unique; rows that repeat a key are
     each returned. A null key takes part under no representative: it gets its class's component, or null if all keys of
@@ -158,19 +188,35 @@ def classes(docs: DataFrame, *, n: int = 5, pct: int = 80, text: str = "text", k
 
     hubs = buckets.where("id = hub").select(F.col("hub").alias("a"), "bucket", F.col("size").alias("size_a"))
     stars = buckets.where("id <> hub").select(F.col("id").alias("b"), "bucket", F.col("size").alias("size_b")).join(hubs, "bucket").where(near[0] & near[1]).select("a", "b").distinct()
+    stars = scratch.save(stars, "stars")
     links = scratch.save(confirmed(stars, sets, pct), "links-star")
     found = components(links, scratch, "cc-star")
     found = scratch.save(found, "star-components")
 
-    # what the hubs did not join: members of one bucket in different components, each such pair once
-    placed = buckets.join(found.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "size", F.coalesce("component", "id").alias("c"))
-    split = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
-    rest = scratch.save(placed.join(split, "bucket", "left_semi"), "rest")
-    x = rest.select("bucket", F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("c").alias("c_a"))
-    y = rest.select("bucket", F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("c").alias("c_b"))
-    pairs = x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & near[0] & near[1]).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    more = scratch.save(confirmed(pairs, sets, pct), "links-rest")
-    scratch.drop("sets", "rest", "buckets")
+    # what the hubs did not join: families (a hub and the members of its buckets) with members in different components
+    placed = buckets.where("id <> hub").join(found.withColumnRenamed("node", "id"), "id", "left").select("bucket", "hub", "id", "size", F.coalesce("component", "id").alias("c"))
+    open_ = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
+    family = scratch.save(placed.join(open_, "bucket", "left_semi").select("hub", "id", "size", "c").distinct(), "family")
+    scratch.drop("buckets")
+    marks = scratch.save(differences(family, sets, pct), "marks")
+    more = None
+    for step in ("near", "far"):
+        now = marks if more is None else marks.drop("c").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+        groups = now.groupBy("hub", "mark").agg(F.min("id").alias("first"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("hub", "mark", "first")
+        x = now.join(groups, ["hub", "mark"]).select("hub", "mark", "first", F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("c").alias("c_b"))
+        if step == "near":  # first each with the smallest of its group
+            y = x.where("b = first").select("hub", "mark", F.col("b").alias("a"), F.col("size_b").alias("size_a"), F.col("c_b").alias("c_a"))
+        else:  # then what is still apart
+            y = x.select("hub", "mark", F.col("b").alias("a"), F.col("size_b").alias("size_a"), F.col("c_b").alias("c_a"))
+        pairs = x.join(y, ["hub", "mark"]).where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & near[0] & near[1]).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+        if more is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        tried = scratch.save(pairs, f"pairs-{step}")
+        new = scratch.save(confirmed(tried, sets, pct), f"links-{step}")
+        more = new if more is None else more.unionByName(new)
+        if step == "near":
+            found = scratch.save(components(links.unionByName(new), scratch, "cc-near"), "near-components")
+    scratch.drop("sets", "marks", "family")
     every = scratch.save(links.unionByName(more), "links")
     found = scratch.save(components(every, scratch, "cc"), "components")
 
