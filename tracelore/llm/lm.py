@@ -163,7 +163,7 @@ def score(docs: DataFrame, *, train: Column, text: str = "text", key: str = "doc
         return pa.table(columns, names=["k", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     asked = dealt.groupBy("block").applyInArrow(ask, "range int, block int, u binary, uc binary, b binary, bc binary")
-    answers = scratch.save(asked.groupBy("range").applyInArrow(answer, "block int, range int, ut binary, bt binary, tokens long, words long"), "answers")
+    answers = scratch.save(asked.repartition(ranges, "range").groupBy("range").applyInArrow(answer, "block int, range int, ut binary, bt binary, tokens long, words long"), "answers")
     # a number a range, the same in each of its answers
     sums = answers.groupBy("range").agg(F.max("tokens").alias("n"), F.max("words").alias("v")).agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n_tokens, n_words = sums["n"] or 0, sums["v"] or 0
