@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, host_rules, lm, near_dup, packing, toxicity
-from .common import fold_of
+from . import compaction, decontaminate, host_rules, lm, near_dup, packing, sanitise, secret_scan, toxicity
+from .common import Scratch, fold_of
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,20 +29,41 @@ def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rejected")
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = compaction.ShardStore(spark, Scratch(spark, "shards").path)
+    store.append(table(spark, sf_dir, "documents"))
+    store.compact()
+    store.vacuum()
+    return store.located().select("doc_id", "n_chars", "shard", "shard_bytes", "manifest_version")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "item_words", "covered", "n_tiles", "coverage")
 
 
+def op7_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = sanitise.detect(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{sanitise.KINDS[k]}") for k in range(4)]
+    return spans.select("doc_id", *counts, F.sha2(sanitise.named("base"), 256).alias("base_sha256"), sanitise.named("all_spans").alias("spans"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    spans = secret_scan.scan(docs, secret_scan.train(docs), keep=["doc_id"])
+    counts = [secret_scan.count("base", k).alias(f"n_{secret_scan.KINDS[k]}") for k in range(3)]
+    return spans.select("doc_id", *counts, F.sha2(secret_scan.named("base"), 256).alias("base_sha256"), secret_scan.named("spans").alias("spans"))
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm.score(table(spark, sf_dir, "documents"), train=fold_of("doc_id") != 1)
     return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-_ALL = (op1_toxicity, op3_near_duplicates, op4_host_rules, op6_decontamination, op8_best_fit_packing, op10_lm_scoring)
+_ALL = (op1_toxicity, op3_near_duplicates, op4_host_rules, op5_sharding, op6_decontamination, op7_sanitisation, op8_best_fit_packing, op9_secret_scan, op10_lm_scoring)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {}
