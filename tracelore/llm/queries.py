@@ -44,7 +44,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = sanitise.detect(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{sanitise.KINDS[k]}") for k in range(4)]
+    counts = [sanitise.count("base", k).alias(f"n_{sanitise.KINDS[k]}") for k in range(4)]
     return spans.select("doc_id", *counts, F.sha2(sanitise.named("base"), 256).alias("base_sha256"), sanitise.named("all_spans").alias("spans"))
 
 
