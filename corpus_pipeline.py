@@ -3,10 +3,48 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from tracelore.llm import decontaminate, near_dup, packing, sanitise, toxicity
+from tracelore.llm.common import Scratch
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the lexicon, learned from all labelled ones, scores below 0.5."""
+    lexicon = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, lexicon).where(F.col("toxic_score") < 0.5).select(*docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: shingles of five words, similarity of 0.8 or more."""
+    return near_dup.deduplicate(docs, n=5, pct=80)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that cover no benchmark item."""
+    return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data and what reveals it replaced in their texts; n_chars is the new length."""
+    return sanitise.sanitise(docs).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each document, or piece of a long one, stands in which bin."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_copies), ("decontamination", drop_leaks), ("pii", remove_personal_data), ("packing", pack)]
+
+#: The lexicon is learned and links are found by sketches: no SQL for these stages; tests compare them with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after another, applied to documents."""
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -110,7 +111,6 @@ class Index:
             keys, owner = np.concatenate([k for k, _ in found]), np.concatenate([np.full(len(k), n) for k, n in found])
             order = np.argsort(keys, kind="stable")
             self.by_size[size] = keys[order], owner[order]
-        self.vocabulary = np.unique(np.concatenate([i.tokens for i in items])) if items else np.empty(0, np.uint64)
 
     def candidates(self, tokens: np.ndarray) -> list[int]:
         """Items that share a seed with the text."""
@@ -126,6 +126,37 @@ class Index:
 FOUND = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("item_words", T.LongType()), T.StructField("covered", T.LongType()), T.StructField("n_tiles", T.LongType()), T.StructField("longest", T.LongType()), T.StructField("tiles", T.ArrayType(T.ArrayType(T.LongType())))]))
 
 
+def blocks_of(benchmark: DataFrame, *, item_text: str, item_key: str, block_words: int) -> Iterator[list[Item]]:
+    """The items in blocks of at most about block_words words each; what a pass holds in memory."""
+    items = benchmark.select(F.col(item_key).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null")
+    total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first()["n"] / 6
+    blocks = max(1, math.ceil(total / block_words))
+    for b in range(blocks):
+        mine = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b) if blocks > 1 else items
+        yield [Item(r["i"], word_hashes(words(r["t"]))) for r in mine.collect()]
+
+
+def searched(docs: DataFrame, held: list[Item], *, text: str, seed: int, least: int, keep: list[str]) -> DataFrame:
+    """The columns in keep and found: for each item that shares a seed with the text, what greedy tiling covers."""
+
+    def setup():
+        index = Index(held, seed)
+
+        def one(t):
+            tokens = word_hashes(words(t))
+            rows = []
+            for n in index.candidates(tokens) if len(tokens) else []:
+                item = index.items[n]
+                # words that the item has not can't match: runs without any are passed over
+                got = tiles(item.tokens, np.where(np.isin(tokens, item.tokens), tokens, np.uint64(0)), min(least, len(item.tokens)))
+                rows.append({"item_id": item.id, "item_words": len(item.tokens), "covered": sum(g[2] for g in got), "n_tiles": len(got), "longest": max((g[2] for g in got), default=0), "tiles": [list(g) for g in got]})
+            return rows
+
+        return lambda texts: [[one(t) for t in texts]]
+
+    return map_column(docs, text, setup, [T.StructField("found", FOUND)], keep)
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", seed: int = 5, least: int = 3, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row for each document and item that share a run of seed words: key, item_id, item_words, covered, n_tiles,
     longest, tiles ([place in item, place in document, length], in words).
@@ -134,37 +165,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key:
     interrupted is still covered. An item of fewer words than a seed is searched as one run. The items are held in blocks of
     at most about block_words words, and each block passes over all documents once; documents are never shuffled.
     Null or empty items and texts overlap with nothing; repeated rows of either side are each returned; null keys pass
-    through; other columns are not read.
+    through; other columns are not read; empty tables give no rows.
     """
-    items = benchmark.select(F.col(item_key).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first()["n"] / 6
-    blocks = max(1, math.ceil(total / block_words))
     out = None
-    for b in range(blocks):
-        mine = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b) if blocks > 1 else items
-        held = [Item(r["i"], word_hashes(words(r["t"]))) for r in mine.collect()]  # bounded by block_words
-
-        def setup(held=held):
-            index = Index(held, seed)
-
-            def one(t):
-                tokens = word_hashes(words(t))
-                rows = []
-                near = index.candidates(tokens) if len(tokens) else []
-                if near:
-                    # runs of the document outside the items' vocabulary can't match; only what is left is tiled
-                    known = np.isin(tokens, index.vocabulary)
-                for n in near:
-                    item = index.items[n]
-                    own = known & np.isin(tokens, item.tokens)
-                    masked = np.where(own, tokens, np.uint64(0) if 0 not in item.tokens else tokens)
-                    got = tiles(item.tokens, masked, min(least, len(item.tokens)))
-                    rows.append({"item_id": item.id, "item_words": len(item.tokens), "covered": sum(g[2] for g in got), "n_tiles": len(got), "longest": max((g[2] for g in got), default=0), "tiles": [list(g) for g in got]})
-                return rows
-
-            return lambda texts: [[one(t) for t in texts]]
-
-        part = map_column(docs, text, setup, [T.StructField("found", FOUND)], [key]).where(F.size("found") > 0).select(key, F.explode("found").alias("f")).select(key, "f.*")
+    for held in blocks_of(benchmark, item_text=item_text, item_key=item_key, block_words=block_words):
+        part = searched(docs, held, text=text, seed=seed, least=least, keep=[key]).where(F.size("found") > 0).select(key, F.explode("found").alias("f")).select(key, "f.*")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -172,3 +177,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key:
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, coverage: float = 0.6, **options) -> DataFrame:
     """Rows of overlaps() whose covered share of the item is at least coverage, with that share."""
     return overlaps(docs, benchmark, **options).withColumn("coverage", F.col("covered") / F.col("item_words")).where(F.col("coverage") >= coverage)
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, *, coverage: float = 0.6, text: str = "text", item_text: str = "text", item_key: str = "item_id", seed: int = 5, least: int = 3, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Rows of docs, all columns, without those that cover at least the share `coverage` of some item; no join, no shuffle."""
+    columns = docs.columns
+    renamed = docs.toDF(*(f"c{i}" for i in range(len(columns))))
+    at = f"c{columns.index(text)}"
+    for held in blocks_of(benchmark, item_text=item_text, item_key=item_key, block_words=block_words):
+        renamed = searched(renamed, held, text=at, seed=seed, least=least, keep=renamed.columns).where(~F.exists("found", lambda f: f["covered"] >= coverage * f["item_words"])).drop("found")
+    return renamed.toDF(*columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compaction, decontaminate, host_rules, lm, near_dup, packing, sanitise, secret_scan, toxicity
+from . import arc_warc, compaction, decontaminate, host_rules, lm, near_dup, packing, sanitise, secret_scan, toxicity
 from .common import Scratch, fold_of
 
 
@@ -20,6 +20,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold_of("doc_id") == 0).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"), "n_matches")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records, _ = arc_warc.archive(table(spark, sf_dir, "pages"))
+    return records.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(table(spark, sf_dir, "documents"), n=3, pct=85)
 
@@ -64,6 +69,17 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-_ALL = (op1_toxicity, op3_near_duplicates, op4_host_rules, op5_sharding, op6_decontamination, op7_sanitisation, op8_best_fit_packing, op9_secret_scan, op10_lm_scoring)
+_ALL = (op1_toxicity, op2_warc, op3_near_duplicates, op4_host_rules, op5_sharding, op6_decontamination, op7_sanitisation, op8_best_fit_packing, op9_secret_scan, op10_lm_scoring)
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES: dict[str, str] = {}
+
+ORACLES: dict[str, str] = {
+    "op2_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+        d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha256(b) AS payload_digest FROM p),
+        f AS (SELECT payload_digest, min(page_id) AS first_id FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+        FROM d LEFT JOIN f USING (payload_digest)
+    """,
+}
