@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, small_batches
+from .common import Scratch, gathered, small_batches
 
 #: Fields of a record's header line, by the version in the file's first record (fixed by the format).
 FIELDS = {
@@ -315,9 +315,9 @@ def archive(pages: DataFrame, *, key: str = "page_id", url: str = "url", payload
     scratch = Scratch(spark, "archives")
     folder = folder or scratch.path
     arcs = scratch.save(write_arcs(pages, f"{folder}/arc", key=key, url=url, payload=payload, limit=limit), "arcs")
-    index = scratch.save(with_originals(scratch.save(index_arcs(spread(arcs)), "index")), "originals")
-    warcs = scratch.save(convert(index, f"{folder}/warc"), "warcs")
+    index = scratch.save(with_originals(scratch.save(index_arcs(spread(arcs)), "index")), "originals", small=True)
+    warcs = scratch.save(convert(index, f"{folder}/warc"), "warcs", small=True)
     records = scratch.save(read_warcs(spread(warcs)), "records")
     named = index.where("original is not null").select(F.col("record_id"), F.col("original.key").alias("refers_to"), F.col("original.record_id").alias("__id"))
     # what a record's own header says is resolved to a key; the index only lists the keys by identifier
-    return records.join(named, "record_id", "left").withColumn("refers_to", F.when(F.col("refers_to_id") == F.col("__id"), F.col("refers_to"))).drop("__id"), warcs
+    return gathered(records.join(named, "record_id", "left").withColumn("refers_to", F.when(F.col("refers_to_id") == F.col("__id"), F.col("refers_to"))).drop("__id")), warcs

@@ -84,14 +84,21 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores at most, without a shuffle: for what is small after joins and
+    aggregations over many partitions, so that it is not written as very many small files."""
+    return df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism))
+
+
 class Scratch:
     """Intermediate tables of one call, as Parquet in the shared folder, so that lost executors cost no more than a reread."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_root(spark)}/tracelore/{name}-{uuid.uuid4().hex[:12]}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{name}")
+    def save(self, df: DataFrame, name: str, small: bool = False) -> DataFrame:
+        """Write a table and read it again; small: gathered() first."""
+        (gathered(df) if small else df).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:

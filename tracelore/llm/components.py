@@ -45,7 +45,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
     """
     spark = edges.sparkSession
     small_batches(spark)
-    whole = scratch.save(edges.select("a", "b").where("a is not null and b is not null and a <> b"), f"{name}-edges")
+    whole = scratch.save(edges.select("a", "b").where("a is not null and b is not null and a <> b"), f"{name}-edges", small=True)
     parts = max(1, math.ceil(whole.count() / PART))
     now = scratch.save(whole.coalesce(parts).mapInArrow(contracted, "a long, b long"), f"{name}-0")
     scratch.drop(f"{name}-edges")
@@ -64,7 +64,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         i += 1
-        now = scratch.save(small, f"{name}-{i}")
+        now = scratch.save(small, f"{name}-{i}", small=True)
         scratch.drop(f"{name}-{i - 1}")
         after = total(now)
         if after == before:

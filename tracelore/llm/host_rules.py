@@ -105,7 +105,7 @@ def judge(docs: DataFrame, *, text: str = "text", host: Column | None = None, ke
     keep = [k for k in (keep if keep is not None else docs.columns) if k not in made]
     rows = measure(docs.withColumn("__host", F.col("source") if host is None else host), text=text, keep=[*keep, "__host"])
     rows = scratch.save(rows.withColumn("base_failed", base_failed()), "rows")
-    hosts = scratch.save(rows.where("__host is not null").groupBy("__host").agg(F.count(F.lit(1)).alias("n"), *(F.sum(c.cast("long")).alias(f"k_{r}") for r, c in rules().items())), "hosts")
+    hosts = scratch.save(rows.where("__host is not null").groupBy("__host").agg(F.count(F.lit(1)).alias("n"), *(F.sum(c.cast("long")).alias(f"k_{r}") for r, c in rules().items())), "hosts", small=True)
     sums = hosts.agg(F.count(F.lit(1)).alias("h"), F.sum("n").alias("n"), F.sum(1 / F.col("n")).alias("i"), *(F.sum(f"k_{r}").alias(f"k_{r}") for r in rules()), *(F.sum(F.col(f"k_{r}") * F.col(f"k_{r}") / F.col("n")).alias(f"s_{r}") for r in rules())).first()
     verdicts, rates = [], []
     for r in rules():

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, map_column, word_hashes, words
+from .common import Scratch, gathered, map_column, word_hashes, words
 from .components import components
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -176,29 +176,29 @@ def classes(docs: DataFrame, *, n: int = 5, pct: int = 80, text: str = "text", k
     scratch = Scratch(spark, "near-dup")
     rows = scratch.save(sketch(docs, n=n, pct=pct, text=text, keep=[key]).withColumnRenamed(key, "id"), "rows")
     filled = rows.where("set_key is not null")
-    reps = scratch.save(filled.where("id is not null").groupBy("set_key").agg(F.min(F.struct("id", "n_shingles", "bands")).alias("r")).select("set_key", "r.*"), "reps")
+    reps = scratch.save(filled.where("id is not null").groupBy("set_key").agg(F.min(F.struct("id", "n_shingles", "bands")).alias("r")).select("set_key", "r.*"), "reps", small=True)
     members = reps.select(F.explode("bands").alias("bucket"), "id", F.col("n_shingles").alias("size"))
     shared = members.groupBy("bucket").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = scratch.save(members.join(shared, "bucket").select("bucket", "id", "size", "hub"), "buckets")
+    buckets = scratch.save(members.join(shared, "bucket").select("bucket", "id", "size", "hub"), "buckets", small=True)
     near = [F.col("size_a") * 100 >= F.col("size_b") * pct, F.col("size_b") * 100 >= F.col("size_a") * pct]
 
     meant = buckets.select(F.col("id")).distinct()
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("__t")).join(meant, "id", "left_semi")
-    sets = scratch.save(full_sets(texts.dropDuplicates(["id"]), n=n, text="__t", key="id"), "sets")
+    sets = scratch.save(full_sets(texts.dropDuplicates(["id"]), n=n, text="__t", key="id"), "sets", small=True)
 
     hubs = buckets.where("id = hub").select(F.col("hub").alias("a"), "bucket", F.col("size").alias("size_a"))
     stars = buckets.where("id <> hub").select(F.col("id").alias("b"), "bucket", F.col("size").alias("size_b")).join(hubs, "bucket").where(near[0] & near[1]).select("a", "b").distinct()
-    stars = scratch.save(stars, "stars")
-    links = scratch.save(confirmed(stars, sets, pct), "links-star")
+    stars = scratch.save(stars, "stars", small=True)
+    links = scratch.save(confirmed(stars, sets, pct), "links-star", small=True)
     found = components(links, scratch, "cc-star")
-    found = scratch.save(found, "star-components")
+    found = scratch.save(found, "star-components", small=True)
 
     # what the hubs did not join: families (a hub and the members of its buckets) with members in different components
     placed = buckets.where("id <> hub").join(found.withColumnRenamed("node", "id"), "id", "left").select("bucket", "hub", "id", "size", F.coalesce("component", "id").alias("c"))
     open_ = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
-    family = scratch.save(placed.join(open_, "bucket", "left_semi").select("hub", "id", "size", "c").distinct(), "family")
+    family = scratch.save(placed.join(open_, "bucket", "left_semi").select("hub", "id", "size", "c").distinct(), "family", small=True)
     scratch.drop("buckets")
-    marks = scratch.save(differences(family, sets, pct), "marks")
+    marks = scratch.save(differences(family, sets, pct), "marks", small=True)
     more = None
     for step in ("near", "far"):
         now = marks if more is None else marks.drop("c").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
@@ -211,18 +211,18 @@ def classes(docs: DataFrame, *, n: int = 5, pct: int = 80, text: str = "text", k
         pairs = x.join(y, ["hub", "mark"]).where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & near[0] & near[1]).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
         if more is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        tried = scratch.save(pairs, f"pairs-{step}")
-        new = scratch.save(confirmed(tried, sets, pct), f"links-{step}")
+        tried = scratch.save(pairs, f"pairs-{step}", small=True)
+        new = scratch.save(confirmed(tried, sets, pct), f"links-{step}", small=True)
         more = new if more is None else more.unionByName(new)
         if step == "near":
-            found = scratch.save(components(links.unionByName(new), scratch, "cc-near"), "near-components")
+            found = scratch.save(components(links.unionByName(new), scratch, "cc-near"), "near-components", small=True)
     scratch.drop("sets", "marks", "family")
-    every = scratch.save(links.unionByName(more), "links")
-    found = scratch.save(components(every, scratch, "cc"), "components")
+    every = scratch.save(links.unionByName(more), "links", small=True)
+    found = scratch.save(components(every, scratch, "cc"), "components", small=True)
 
     degree = every.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     label = reps.select("set_key", "id").join(found.withColumnRenamed("node", "id"), "id", "left").join(degree, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    out = rows.select("id", "n_shingles", "set_key").join(label, "set_key", "left")
+    out = gathered(rows.select("id", "n_shingles", "set_key").join(label, "set_key", "left"))
     component = F.when(F.col("set_key").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 

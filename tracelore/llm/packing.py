@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch
+from .common import WORD, Scratch, gathered
 
 #: Permitted sequence lengths, in tokens.
 CAPACITIES = (512, 1024, 2048, 4096)
@@ -161,4 +161,4 @@ def pack_documents(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     filled = ranked.alias("x").join(plan.alias("y"), F.expr("x.length = y.length and x.rank >= y.lo and x.rank < y.hi"))
     filled = filled.select("k", "piece", "start", F.col("x.length").alias("length"), (F.col("bin") + F.col("rank") - F.col("lo")).alias("bin_id"), "bin_capacity", "bin_offset")
     empty = pieces.where("length = 0").select("k", "piece", "start", "length", F.lit(None).cast("long").alias("bin_id"), F.lit(None).cast("int").alias("bin_capacity"), F.lit(None).cast("int").alias("bin_offset"))
-    return filled.unionByName(empty).withColumnRenamed("k", key)
+    return gathered(filled.unionByName(empty)).withColumnRenamed("k", key)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, map_column, small_batches, word_hashes, words
+from .common import Scratch, gathered, map_column, small_batches, word_hashes, words
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -171,7 +171,7 @@ def revealing(rows: DataFrame, docs: DataFrame, scratch: Scratch, *, text: str,
     n = rows.count()
     near = rows.where(F.size("near") > 0).select("uid", F.explode("near").alias("x")).select("uid", "x.e", "x.t").distinct()
     pairs = near.groupBy("e", "t").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= support)
-    pairs = scratch.save(pairs, "pairs")
+    pairs = scratch.save(pairs, "pairs", small=True)
     df = document_frequency(docs, pairs.select("t").distinct(), text=text)
     seen = rows.where(F.size("near") > 0).select("uid", F.explode("near.e").alias("e")).distinct().groupBy("e").agg(F.count(F.lit(1)).alias("c_e"))
     whole = pairs.join(df, "t").join(seen, "e")
@@ -190,11 +190,11 @@ def detect(docs: DataFrame, *, text: str = "text", key: str = "doc_id", support:
     """
     scratch = Scratch(docs.sparkSession, "sanitise")
     rows = scratch.save(found(docs, text=text, keep=[key]).withColumn("uid", F.monotonically_increasing_id()), "rows")
-    shown = scratch.save(revealing(rows, docs, scratch, text=text, support=support, disclosure=disclosure), "revealing")
+    shown = scratch.save(revealing(rows, docs, scratch, text=text, support=support, disclosure=disclosure), "revealing", small=True)
     places = rows.where(F.size("near") > 0).select("uid", F.explode("near").alias("x")).select("uid", "x.*").join(shown, ["e", "t"])
     extra = places.groupBy("uid", "start", "end").agg(F.max("share").alias("share"))
     extra = extra.groupBy("uid").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end")).alias("extra"))
-    out = rows.join(extra, "uid", "left")
+    out = gathered(rows.join(extra, "uid", "left"))
     none = F.array().cast(SPAN)
     return out.select(key, "base", F.array_sort(F.concat("base", F.coalesce("extra", none))).alias("all_spans"))
 
