@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -125,34 +125,40 @@ def confirmed(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     return whole.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def differences(family: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
-    """(hub, mark, id, size, c): shingles in which a member differs from its hub, as many as any link to another member needs.
-
-    Let D be the symmetric difference of a member's set and its hub's. Two members f, g with |f ^ g| <= u (|f| + |g|), where
-    u = (100 - pct) / (100 + pct), share (|Df| + |Dg| - |f ^ g|) / 2 elements of D or more, and |f ^ g| is at most
-    S = u |f| (1 + 100 / pct). If neither is linked to the hub by itself, or one is not, that is at least one element, and at least
-    |Df| - S of them; so in one order for the whole family (what the hub lacks first, then by value) the
-    first S + 1 elements of each D must meet. Copies of a template with edits of their own so meet in nothing.
-    """
-    u, wide = (100 - pct) / (100 + pct), 1 + 100 / pct
+def differences(family: DataFrame, sets: DataFrame) -> DataFrame:
+    """(hub, id, size, c, marks): the shingles in which a member's set and its hub's differ."""
     left = sets.select("id", F.col("set").alias("own"))
     right = sets.select(F.col("id").alias("hub"), F.col("set").alias("hub_set"))
     whole = family.join(left, "id").join(right, "hub").select("hub", "id", "size", "c", "own", "hub_set")
-    schema = T.StructType([T.StructField("marks", T.ArrayType(T.LongType())), *(whole.schema[k] for k in ("hub", "id", "size", "c"))])
+    schema = T.StructType([*(whole.schema[k] for k in ("hub", "id", "size", "c")), T.StructField("marks", T.ArrayType(T.LongType()))])
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            marks = []
-            for x, y in zip(batch.column(4), batch.column(5), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                most = math.floor(u * wide * len(p) + 1e-9) + 1
-                d = np.concatenate([np.setdiff1d(p, q, assume_unique=True), np.setdiff1d(q, p, assume_unique=True)])
-                marks.append((d[:most] ^ np.uint64(1 << 63)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(marks, pa.list_(pa.int64())), *(batch.column(k) for k in range(4))], names=schema.names)
+            marks = [(np.setxor1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True) ^ np.uint64(1 << 63)).view(np.int64) for x, y in zip(batch.column(4), batch.column(5), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(marks, pa.list_(pa.int64()))], names=schema.names)
+
+    return whole.mapInArrow(run, schema)
 
-    return whole.mapInArrow(run, schema).select("hub", F.explode("marks").alias("mark"), "id", "size", "c")
+
+def rare_marks(members: DataFrame, pct: int) -> DataFrame:
+    """(hub, mark, id, size, c, place, all): of each member's differences, the rarest in the family, as many as any link to another member needs.
+
+    Two members f, g are linked only if |f ^ g| <= u (|f| + |g|), u = (100 - pct) / (100 + pct). With D the difference of a set to
+    the hub's, |Df & Dg| = (|Df| + |Dg| - |f ^ g|) / 2. If not both are linked to the hub, that is at least 1; and as |g| is at most
+    100 |f| / pct, it is at least |Df| - S with S = u |f| (1 + 100 / pct). So in one order of the family's differences (how
+    many members have it, then its value) the first S + 1 of each member must meet. Edits that a copy alone has come
+    first and meet nothing; differences of one member only are counted, not kept. place is a mark's number in the member's order
+    and all the size of D: at the first mark that two members share, they share no more than what follows on either side.
+    """
+    u, wide = (100 - pct) / (100 + pct), 1 + 100 / pct
+    rows = members.select("hub", F.explode("marks").alias("mark"), "id", "size", "c", F.size("marks").alias("all"))
+    often = members.select("hub", F.explode("marks").alias("mark")).groupBy("hub", "mark").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    shared = rows.join(often, ["hub", "mark"])
+    w = Window.partitionBy("hub", "id")
+    place = F.col("all") - F.count(F.lit(1)).over(w) + F.row_number().over(w.orderBy("often", "mark"))
+    return shared.withColumn("place", place).where(F.col("place") <= F.floor(u * wide * F.col("size") + 1e-9) + 1).select("hub", "mark", "id", "size", "c", "place", "all")
 
 
 def classes(docs: DataFrame, *, n: int = 5, pct: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -164,7 +170,7 @@ def classes(docs: DataFrame, *, n: int = 5, pct: int = 80, text: str = "text", k
 
     How: texts with one set form one class (exact copies never meet as pairs). Min-max signatures of class
     representatives are banded; in each bucket all members are compared with the bucket's smallest member, its hub. Members
-    that stay in different components meet again only where they differ from the hub in the same shingles (differences()
+    that stay in different components meet again only where they differ from the hub in the same shingles (rare_marks()
     says why no link is lost), again first with the smallest of such a group. Pairs are confirmed on full sets, so no
     false link is kept; a link at the threshold is missed with a probability below 1e-7. There is no cap on buckets or partners.
 
@@ -198,17 +204,21 @@ def classes(docs: DataFrame, *, n: int = 5, pct: int = 80, text: str = "text", k
     open_ = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
     family = scratch.save(placed.join(open_, "bucket", "left_semi").select("hub", "id", "size", "c").distinct(), "family", small=True)
     scratch.drop("buckets")
-    marks = scratch.save(differences(family, sets, pct), "marks", small=True)
+    members = scratch.save(differences(family, sets), "members", small=True)
+    marks = scratch.save(rare_marks(members, pct), "marks", small=True)
+    u = (100 - pct) / (100 + pct)
     more = None
     for step in ("near", "far"):
         now = marks if more is None else marks.drop("c").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
         groups = now.groupBy("hub", "mark").agg(F.min("id").alias("first"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("hub", "mark", "first")
-        x = now.join(groups, ["hub", "mark"]).select("hub", "mark", "first", F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("c").alias("c_b"))
-        if step == "near":  # first each with the smallest of its group
-            y = x.where("b = first").select("hub", "mark", F.col("b").alias("a"), F.col("size_b").alias("size_a"), F.col("c_b").alias("c_a"))
-        else:  # then what is still apart
-            y = x.select("hub", "mark", F.col("b").alias("a"), F.col("size_b").alias("size_a"), F.col("c_b").alias("c_a"))
-        pairs = x.join(y, ["hub", "mark"]).where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & near[0] & near[1]).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+        x = now.join(groups, ["hub", "mark"])
+        left = x.select("hub", "mark", *(F.col(c).alias(f"{c}_b") for c in ("id", "size", "c", "place", "all")))
+        # first each with the smallest of its group, then what is still apart
+        right = (x.where("id = first") if step == "near" else x).select("hub", "mark", *(F.col(c).alias(f"{c}_a") for c in ("id", "size", "c", "place", "all")))
+        need = (F.col("all_a") + F.col("all_b") - u * (F.col("size_a") + F.col("size_b"))) / 2 - 1e-9
+        reach = F.least(F.col("all_a") - F.col("place_a"), F.col("all_b") - F.col("place_b")) + 1 >= need
+        apart = (F.col("id_a") < F.col("id_b")) & (F.col("c_a") != F.col("c_b"))
+        pairs = left.join(right, ["hub", "mark"]).where(apart & near[0] & near[1] & reach).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
         if more is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         tried = scratch.save(pairs, f"pairs-{step}", small=True)
@@ -216,7 +226,7 @@ def classes(docs: DataFrame, *, n: int = 5, pct: int = 80, text: str = "text", k
         more = new if more is None else more.unionByName(new)
         if step == "near":
             found = scratch.save(components(links.unionByName(new), scratch, "cc-near"), "near-components", small=True)
-    scratch.drop("sets", "marks", "family")
+    scratch.drop("sets", "marks", "family", "members")
     every = scratch.save(links.unionByName(more), "links", small=True)
     found = scratch.save(components(every, scratch, "cc"), "components", small=True)
 
