@@ -8,6 +8,7 @@ import io
 import re
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import datetime
 from typing import BinaryIO
@@ -57,7 +58,7 @@ def arc_opening(version: int, name: str, date: str) -> bytes:
 
 
 def read_arc(file: BinaryIO) -> Iterator[ArcRecord]:
-    """Records of an ARC file (not compressed) with the offset of their header line; the version block is not among them.
+    """Records of an ARC file (decompressed) with the offset of their header line; the version block is not among them.
 
     The version in the block says which fields a line has. A URL may hold spaces in old files: fields are counted from the end.
     The declared length, not a separator, ends a record.
@@ -166,6 +167,15 @@ def opened(path: str):
     return pafs.FileSystem.from_uri(path)
 
 
+@contextmanager
+def reading(path: str):
+    """A buffered stream of an archive's bytes, decompressed if the name says so."""
+    store, at = opened(path)
+    with store.open_input_file(at) as raw:
+        with (gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw) as file:
+            yield io.BufferedReader(file, 1 << 20)
+
+
 def publish(path: str, data: bytes | memoryview) -> None:
     """Write a file under a name of its own, then rename it: a task that is run again replaces it whole."""
     store, at = opened(path)
@@ -179,7 +189,7 @@ ARCHIVES = "archive string, records long, bytes long"
 
 
 def write_arcs(pages: DataFrame, folder: str, *, key: str = "page_id", url: str = "url", payload: str = "html", limit: int = ARCHIVE_BYTES, date: str = "20240101000000") -> DataFrame:
-    """ARC files of the rows' payloads in UTF-8 (null: empty), about `limit` bytes each: archive, records, bytes.
+    """ARC files of the rows' payloads in UTF-8 (null: empty), gzip by record, about `limit` bytes each: archive, records, bytes.
 
     Files alternate between the two versions of the format. The key is kept in the HTTP header X-Record-Key (no such header
     for a null key), a null URL becomes urn:key:<key>. Nothing is written before the result is evaluated, once.
@@ -195,7 +205,7 @@ def write_arcs(pages: DataFrame, folder: str, *, key: str = "page_id", url: str
         def close():
             nonlocal out, count, version
             if count:
-                name = f"{folder}/{unique}-{len(made):05d}.arc"
+                name = f"{folder}/{unique}-{len(made):05d}.arc.gz"
                 publish(name, out.getbuffer())
                 made.append((name, count, out.tell()))
             out, count, version = io.BytesIO(), 0, 3 - version
@@ -203,11 +213,11 @@ def write_arcs(pages: DataFrame, folder: str, *, key: str = "page_id", url: str
         for batch in batches:
             for k, u, p in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if not count:
-                    out.write(arc_opening(version, f"{unique}-{len(made):05d}.arc", date))
+                    out.write(gzip.compress(arc_opening(version, f"{unique}-{len(made):05d}.arc.gz", date), 1, mtime=0))
                 body = (p or "").encode("utf-8", "surrogatepass")
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{'' if k is None else f'X-Record-Key: {k}{chr(13)}{chr(10)}'}Content-Length: {len(body)}\r\n\r\n".encode()
-                values = {"url": u if u is not None else f"urn:key:{k}", "ip": "0.0.0.0", "date": date, "content-type": "text/html", "result-code": "200", "offset": str(out.tell()), "filename": f"{unique}-{len(made):05d}.arc", "length": str(len(head) + len(body))}
-                out.write(arc_line(version, values) + head + body + b"\n")
+                values = {"url": u if u is not None else f"urn:key:{k}", "ip": "0.0.0.0", "date": date, "content-type": "text/html", "result-code": "200", "offset": str(out.tell()), "filename": f"{unique}-{len(made):05d}.arc.gz", "length": str(len(head) + len(body))}
+                out.write(gzip.compress(arc_line(version, values) + head + body + b"\n", 1, mtime=0))
                 count += 1
                 if out.tell() >= limit:
                     close()
@@ -226,10 +236,9 @@ def index_arcs(archives: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                store, at = opened(path)
                 rows = []
-                with store.open_input_file(at) as file:
-                    for r in read_arc(io.BufferedReader(file, 1 << 20)):
+                with reading(path) as file:
+                    for r in read_arc(file):
                         head, payload = split_http(r.body)
                         k = http_field(head, b"X-Record-Key")
                         rows.append((path, r.offset, None if k is None else int(k), record_id(path.rpartition("/")[2], r.offset, r.header), r.header["url"], warc_date(r.header["date"]), len(payload), hashlib.sha256(payload).hexdigest()))
@@ -257,11 +266,10 @@ def convert(index: DataFrame, folder: str) -> DataFrame:
         path = table["archive"][0].as_py()
         known = dict(zip(table["offset"].to_pylist(), table["original"].to_pylist(), strict=True))
         name = path.rpartition("/")[2]
-        own = f"{folder}/{name[:-4]}.warc.gz"
+        own = f"{folder}/{name.removesuffix(".arc.gz")}.warc.gz"
         out, n = io.BytesIO(), 0
-        arcs, where = opened(path)
-        with arcs.open_input_file(where) as file:
-            for r in read_arc(io.BufferedReader(file, 1 << 20)):
+        with reading(path) as file:
+            for r in read_arc(file):
                 o = known[r.offset]
                 out.write(gzip.compress(warc_record(name, r, (o["record_id"], o["url"], o["date"]) if o else None), 1, mtime=0))
                 n += 1
@@ -281,10 +289,9 @@ def read_warcs(archives: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                store, at = opened(path)
                 rows = []
-                with store.open_input_file(at) as raw, gzip.GzipFile(fileobj=raw) as file:
-                    for fields, block in read_warc(io.BufferedReader(file, 1 << 20)):
+                with reading(path) as file:
+                    for fields, block in read_warc(file):
                         head, payload = split_http(block)
                         kind, digest = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha256:")
                         if hashlib.sha256(block).hexdigest() != fields["warc-block-digest"].removeprefix("sha256:") or kind == "response" and hashlib.sha256(payload).hexdigest() != digest:
