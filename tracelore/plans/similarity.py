@@ -151,12 +151,10 @@ def knn_no_dedup_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("query_id", "entry_id", "action", rounded(F.col("score")).alias("score"))
 
 
-@query(f"WITH {KNN.format(weight='1.0')}, k AS (SELECT *, {RANK} AS rank FROM r) SELECT query_id, action, rank, CAST(-1 - rank AS DOUBLE) AS confidence, printf('%.4f', score) || ' ' || action AS line FROM k WHERE rank < 3")
+@query(f"WITH {KNN.format(weight='1.0')}, k AS (SELECT *, {RANK} AS rank FROM r) SELECT query_id, action, rank, CAST(-1 - rank AS DOUBLE) AS confidence FROM k WHERE rank < 3")
 def rank_take_confidence_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..sources.sinks import shown
-
-    top = shown(ranking.taken(knn_rank_orders(spark, sf_dir), 3))
-    return top.select("query_id", "action", "rank", ranking.rank_confidence(F.col("rank")).alias("confidence"), "line")
+    top = ranking.taken(knn_rank_orders(spark, sf_dir), 3)
+    return top.select("query_id", "action", "rank", ranking.rank_confidence(F.col("rank")).alias("confidence"))
 
 
 @query(f"WITH {KNN.format(weight='1.0')}, k AS (SELECT *, {RANK} AS rank FROM r) SELECT o_orderkey AS query_id, o_orderpriority AS truth, coalesce(rank, -1) AS truth_rank FROM orders LEFT JOIN k ON query_id = o_orderkey AND action = o_orderpriority WHERE o_orderkey % 100 = 0")
