@@ -85,9 +85,12 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def gathered(df: DataFrame) -> DataFrame:
-    """df in as many partitions as there are cores at most, without a shuffle: for what is small after joins and
-    aggregations over many partitions, so that it is not written as very many small files."""
-    return df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism))
+    """df in fewer partitions, without a shuffle: an eighth of the shuffle partitions, but four for each core at least.
+
+    For what is small after joins and aggregations over many partitions, so that it is not written as very many small files.
+    """
+    spark = df.sparkSession
+    return df.coalesce(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
 
 
 class Scratch:
