@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from bisect import bisect_left, insort
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -22,13 +21,14 @@ BROADCAST_ROWS = 500_000
 
 @dataclass
 class Placement:
-    """Pieces of one length with ranks in [first, first + count) go one each to bins bin, bin + 1, ... at one offset."""
+    """Pieces of one length with ranks in [first, first + count) go, `per` to a bin, to bins bin, bin + 1, ... from one offset on."""
 
     length: int
     first: int
     count: int
     bin: int
     offset: int
+    per: int
 
 
 def opened(length: int, demand: dict[int, int], capacities: Sequence[int], overhead: int) -> int:
@@ -68,33 +68,36 @@ def pack(histogram: dict[int, int], capacities: Sequence[int] = CAPACITIES, over
     groups: list[list[int]] = []  # bin, count, used, capacity
     free: list[tuple[int, int]] = []  # (room, number of the group), in order
     bins = 0
+    def fill(length: int, rank: int, left: int, g: int) -> int:
+        """Pieces of one length into the bins of a group; a bin that took one is the tightest still and takes all that fit."""
+        start, count, used, capacity = groups[g]
+        per = min((capacity - used) // length, left)
+        n = min(count, left // per)
+        placed.append(Placement(length, rank, n * per, start, used, per))
+        groups[g] = [start, n, used + per * length, capacity]
+        if groups[g][2] < capacity:
+            insort(free, (capacity - groups[g][2], g))
+        if n < count:
+            groups.append([start + n, count - n, used, capacity])
+            insort(free, (capacity - used, len(groups) - 1))
+        return n * per
+
     for length in list(todo):
         left, rank = todo[length], 0
         while left:
             at = bisect_left(free, (length, -1))
             if at < len(free):
-                room, g = free.pop(at)
-                start, count, used, capacity = groups[g]
-                n = min(left, count)
-                placed.append(Placement(length, rank, n, start, used))
-                groups[g] = [start, n, used + length, capacity]
-                if room > length:
-                    insort(free, (room - length, g))
-                if n < count:
-                    groups.append([start + n, count - n, used, capacity])
-                    insort(free, (room, len(groups) - 1))
+                _, g = free.pop(at)
             else:
                 todo[length] = left
                 capacity = opened(length, todo, capacities, overhead)
-                # as many bins as this length needs if it fills them alone, at least one and at most all
-                n = math.ceil(left / max(1, capacity // length))
-                placed.append(Placement(length, rank, n, bins, 0))
-                groups.append([bins, n, length, capacity])
-                if capacity > length:
-                    insort(free, (capacity - length, len(groups) - 1))
+                n = max(1, left // (capacity // length))
+                groups.append([bins, n, 0, capacity])
                 bins += n
-            left -= n
-            rank += n
+                g = len(groups) - 1
+            done = fill(length, rank, left, g)
+            left -= done
+            rank += done
         del todo[length]
     return placed, [(b, n, used, min(c for c in capacities if c >= used)) for b, n, used, _ in groups]
 
@@ -145,20 +148,20 @@ def pack_documents(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     # a placement may reach over groups that were parted later
     rows = []
     for p in placed:
-        at, done = bisect_left(firsts, p.bin + 1) - 1, 0
-        while done < p.count:
+        at, done, n_bins = bisect_left(firsts, p.bin + 1) - 1, 0, -(-p.count // p.per)
+        while done < n_bins:
             b, n, _, capacity = size[at]
-            take = min(p.count - done, b + n - (p.bin + done))
-            rows.append((p.length, p.first + done, p.first + done + take, p.bin + done, p.offset, capacity))
+            take = min(n_bins - done, b + n - (p.bin + done))
+            rows.append((p.length, p.first + done * p.per, p.first + (done + take) * p.per, p.bin + done, p.offset, p.per, capacity))
             done += take
             at += 1
-    plan = spark.createDataFrame(rows, "length int, lo long, hi long, bin long, bin_offset int, bin_capacity int")
+    plan = spark.createDataFrame(rows, "length int, lo long, hi long, bin long, first_offset int, per int, bin_capacity int")
     if len(rows) <= BROADCAST_ROWS:
         plan = F.broadcast(plan)
     starts = spark.createDataFrame(before, "length int, salt int, before long")
     order = Window.partitionBy("length", "salt").orderBy("k", "piece")
     ranked = pieces.where("length > 0").withColumn("r", F.row_number().over(order)).join(F.broadcast(starts), ["length", "salt"]).withColumn("rank", F.col("before") + F.col("r") - 1)
     filled = ranked.alias("x").join(plan.alias("y"), F.expr("x.length = y.length and x.rank >= y.lo and x.rank < y.hi"))
-    filled = filled.select("k", "piece", "start", F.col("x.length").alias("length"), (F.col("bin") + F.col("rank") - F.col("lo")).alias("bin_id"), "bin_capacity", "bin_offset")
+    filled = filled.select("k", "piece", "start", F.col("x.length").alias("length"), F.expr("bin + (rank - lo) div per").alias("bin_id"), "bin_capacity", F.expr("cast(first_offset + (rank - lo) % per * x.length as int)").alias("bin_offset"))
     empty = pieces.where("length = 0").select("k", "piece", "start", "length", F.lit(None).cast("long").alias("bin_id"), F.lit(None).cast("int").alias("bin_capacity"), F.lit(None).cast("int").alias("bin_offset"))
     return gathered(filled.unionByName(empty)).withColumnRenamed("k", key)
