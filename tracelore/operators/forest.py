@@ -49,11 +49,11 @@ def candidates(queries: DataFrame, entries: DataFrame, *, depth: int = 9, most:
     by_trie = sized.groupBy(query, "trie").agg(F.array_sort(F.collect_list(F.struct("d", "n", "prefix"))).alias("p"))
     floor = F.array_min(F.transform(F.filter("p", lambda x: (x["n"] <= 1) | (x["d"] == depth)), lambda x: x["d"]))
     by_trie = by_trie.withColumn("last", floor)
-    # entries taken if the visit stops at level l: those that share min(l, last) characters
-    at = F.explode(F.transform(F.sequence(F.lit(0), F.lit(depth)), lambda l: F.struct(l.alias("l"), F.element_at("p", F.least(l, F.col("last")) + 1)["n"].alias("n"))))  # noqa: E741
+    # entries taken if the visit stops at level l: those that share l characters, in tries whose query goes as deep
+    at = F.explode(F.transform(F.sequence(F.lit(0), F.lit(depth)), lambda l: F.struct(l.alias("l"), F.when(l <= F.col("last"), F.element_at("p", l + 1)["n"]).otherwise(0).alias("n"))))  # noqa: E741
     reach = by_trie.select(query, at.alias("x")).groupBy(query, F.col("x.l").alias("l")).agg(F.sum("x.n").alias("n"))
     stop = reach.groupBy(query).agg(F.coalesce(F.max(F.when(F.col("n") >= most, F.col("l"))), F.lit(0)).alias("stop"))
-    asked = by_trie.join(stop, query).select(query, "trie", "last", F.element_at("p", F.col("last") + 1)["prefix"].alias("deep"), F.least("stop", "last").alias("d"))
+    asked = by_trie.join(stop, query).where("stop <= last").select(query, "trie", "last", F.element_at("p", F.col("last") + 1)["prefix"].alias("deep"), F.col("stop").alias("d"))
     asked = asked.withColumn("prefix", F.substring("deep", F.lit(1), F.col("d")))
     used = [tuple(r) for r in asked.select("trie", "d").distinct().collect()]  # at most tries * (depth + 1)
     depths: dict[int, list[int]] = {}
