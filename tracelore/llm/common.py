@@ -78,6 +78,16 @@ def shared_root(spark: SparkSession) -> str:
     return _own_roots.setdefault(app, "file://" + tempfile.mkdtemp(prefix="tracelore-"))
 
 
+def own_folder(spark: SparkSession) -> str:
+    """Where this application keeps its tables in the shared folder."""
+    return f"{shared_root(spark)}/tracelore/{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete this application's tables; for when no result that reads them is in use any more."""
+    delete(spark, own_folder(spark))
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a folder in whatever store holds it."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -97,7 +107,7 @@ class Scratch:
     """Intermediate tables of one call, as Parquet in the shared folder, so that lost executors cost no more than a reread."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.path = spark, f"{shared_root(spark)}/tracelore/{name}-{uuid.uuid4().hex[:12]}"
+        self.spark, self.path = spark, f"{own_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
     def save(self, df: DataFrame, name: str, small: bool = False) -> DataFrame:
         """Write a table and read it again; small: gathered() first."""

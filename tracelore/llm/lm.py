@@ -16,7 +16,7 @@ from .common import Scratch, text_bytes, word_hashes, words
 END, START = np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Bytes of text in a block, and bytes of text whose n-grams a range of hashes holds.
-BLOCK, RANGE = 4 << 20, 8 << 20
+BLOCK, RANGE = 8 << 20, 8 << 20
 
 
 def stream(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -58,6 +58,15 @@ def cuts(distinct: np.ndarray, ranges: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(distinct, edges), [len(distinct)]])
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Sorted numbers as differences, byte by byte of all of them, so that the shuffle's compression finds the empty high bytes."""
+    return np.ascontiguousarray(np.diff(numbers, prepend=np.zeros(1, numbers.dtype)).view(np.uint8).reshape(-1, numbers.itemsize).T).tobytes()
+
+
+def unpacked(data: pa.Scalar) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data.as_buffer(), np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 @dataclass
 class BackoffAutomaton:
     """States are the root and one for each history seen in training; words and histories are given by their places.
@@ -123,11 +132,11 @@ def score(docs: DataFrame, *, train: Column, text: str = "text", key: str = "doc
         rows = []
         for i, (p, q, r, s) in enumerate(zip(cu := cuts(u, ranges), cu[1:], cb := cuts(b, ranges), cb[1:])):
             if q > p or s > r:
-                rows.append((i, block, u[p:q].tobytes(), uc[p:q].tobytes(), b[r:s].tobytes(), bc[r:s].tobytes()))
+                rows.append((i, block, packed(u[p:q]), uc[p:q].tobytes(), packed(b[r:s]), bc[r:s].tobytes()))
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int32(), pa.int32(), *[pa.binary()] * 4], strict=True)], names=["range", "block", "u", "uc", "b", "bc"])
 
     def summed(table: pa.Table, keys: str, counts: str) -> tuple[list[bytes], np.ndarray]:
-        parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in table[keys]]
+        parts = [unpacked(x) for x in table[keys]]
         own = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table[counts]])
         _, at = np.unique(np.concatenate(parts), return_inverse=True)
         total = np.bincount(at, weights=own).astype(np.int64)
