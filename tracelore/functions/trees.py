@@ -116,6 +116,15 @@ def nodes(tree: Tree) -> Iterator[tuple[int, int | None, int, str, str, str | No
         n += 1
 
 
+def scopes(tree: Tree) -> list[tuple[int, int]]:
+    """(node, last node of its subtree) in preorder."""
+    parents = [parent for _, parent, *_ in nodes(tree)]
+    last = list(range(len(parents)))
+    for n in range(len(parents) - 1, 0, -1):
+        last[parents[n]] = max(last[parents[n]], last[n])
+    return list(enumerate(last))
+
+
 def size(tree: Tree) -> int:
     """Every edge adds one to the nodes."""
     return 2 * sum(1 for _ in nodes(tree)) - 1

@@ -118,3 +118,16 @@ def round_trip_failures(arguments: DataFrame) -> DataFrame:
     strip = filled(stripped(one))
     whole = one.groupBy("tree_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "arg"))), lambda x: x["arg"]), " ").alias("text"))
     return whole.join(strip.select("tree_id", F.col("filled").alias("text")), ["tree_id", "text"], "left_anti")
+
+
+def mapped(nodes: DataFrame, hooks: dict[str, Column], column: str = "symbol") -> DataFrame:
+    """A traversal of whole trees: the hook of a node's kind gives its new symbol; kinds without a hook stay as they are."""
+    new: Column = F.col(column)
+    for kind, hook in hooks.items():
+        new = F.when(F.col("kind") == kind, hook).otherwise(new)
+    return nodes.withColumn(column, new)
+
+
+def unparsed(rows: DataFrame, printed: str = "printed", parsed: str = "parsed") -> DataFrame:
+    """Rows whose printed form does not parse back to themselves; to be warned about."""
+    return rows.where(~F.col(printed).eqNullSafe(F.col(parsed)))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import threading
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -120,3 +123,57 @@ def unsolved(before: DataFrame, after: DataFrame, dependencies: DataFrame) -> Da
 def within(column: Column, budget: int | None) -> Column:
     """Deterministic benchmarks count inferences instead of seconds."""
     return F.lit(True) if budget is None else column <= budget
+
+
+def until_unshelved(search_round, goals: DataFrame, rounds: int = 16) -> list[DataFrame]:
+    """Search again for what a round shelved, until nothing is; the solutions of each round. search_round returns (solutions, shelved goals)."""
+    out = []
+    for _ in range(rounds):
+        solutions, goals = search_round(goals)
+        out.append(solutions)
+        if not goals.limit(1).count():
+            break
+    return out
+
+
+class TimedOut(Exception):
+    """The job was cancelled when its time was up."""
+
+
+def run_within(spark: SparkSession, seconds: float, action: Callable[[], object]):
+    """Run an action, and cancel its Spark jobs when the time is up (TimedOut). An inner limit never outlives an outer one."""
+    tag = f"within-{uuid.uuid4().hex[:8]}"
+    limit = min([seconds, *_deadlines()])
+    spark.sparkContext.addJobTag(tag)
+    late = threading.Event()
+
+    def stop() -> None:
+        late.set()
+        spark.sparkContext.cancelJobsWithTag(tag)
+
+    timer = threading.Timer(limit, stop)
+    _stack().append(time.monotonic() + limit)
+    timer.start()
+    try:
+        return action()
+    except Exception as e:
+        if late.is_set():
+            raise TimedOut(f"{limit:g} s") from e
+        raise
+    finally:
+        timer.cancel()
+        _stack().pop()
+        spark.sparkContext.removeJobTag(tag)
+
+
+_local = threading.local()
+
+
+def _stack() -> list[float]:
+    if not hasattr(_local, "ends"):
+        _local.ends = []
+    return _local.ends
+
+
+def _deadlines() -> list[float]:
+    return [max(0.0, end - time.monotonic()) for end in _stack()]

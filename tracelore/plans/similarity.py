@@ -270,3 +270,43 @@ def subst_rebind_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = lines.join(uses.select("entry_id").distinct(), "entry_id", "left_semi")
     current = lines.join(asked, lines["entry_id"] == asked["query_id"]).select("query_id", F.col("name").alias("hyp"), "feature")
     return ranking.rebound(uses, stored, current, weights).select("query_id", "entry_id", "name", "replacement")
+
+
+@query("""WITH ln AS (SELECT l_orderkey AS entry_id, 'L' || l_linenumber AS name, unnest(['brand=' || p_brand, 'flag=' || l_returnflag, 'line=' || l_linestatus]) AS f FROM lineitem JOIN part ON l_partkey = p_partkey)
+  SELECT entry_id, name, 'HYPS-' || f || '-' || count(*) AS feature FROM ln GROUP BY entry_id, name, f""")
+def feat_context_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = ad.order_lines(spark, sf_dir).groupBy("entry_id", "name", "feature").agg(F.count(F.lit(1)).alias("cnt"))
+    return counted.select("entry_id", "name", ft.folded(F.col("feature"), F.col("cnt"), ft.HYPOTHESIS).alias("feature"))
+
+
+@query(f"WITH {KNN.format(weight='1.0')}, x AS (SELECT query_id, substr(action, 1, 1)::INT % 2 AS action, max(score) AS score FROM s GROUP BY ALL), z AS (SELECT query_id, action, round(score, 6) AS score FROM x) SELECT *, {RANK} AS rank FROM z")
+def subst_dedup_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actions that become equal once their arguments are replaced count as one."""
+    held, own, weights, asked = order_model(spark, sf_dir)
+    scores = ranking.overlap_scores(asked, own, weights).join(held, "entry_id").withColumn("substituted", F.substring("action", 1, 1).cast("int") % 2)
+    best = ranking.best_by_class(scores, action="substituted").select("query_id", F.col("substituted").alias("action"), rounded(F.col("score")).alias("score"))
+    return ranking.ranked(best)
+
+
+@query(f"""WITH seqs AS (SELECT vec_id AS entry_id, label::VARCHAR AS action, row_number() OVER (ORDER BY vec_id) AS seq FROM embeddings),
+  m AS (SELECT * FROM seqs WHERE seq > (SELECT max(seq) FROM seqs) - 1000),
+  f AS (SELECT vec_id AS entry_id, 'd' || (i - 1) || CASE WHEN embedding[i] >= 0 THEN '+' ELSE '-' END AS feature FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)),
+  mf AS (SELECT f.*, action FROM f JOIN m USING (entry_id)),
+  w AS (SELECT feature, ln((1.0 + (SELECT count(*) FROM m)) / (1.0 + count(*))) AS idf FROM mf GROUP BY feature),
+  q AS (SELECT entry_id AS query_id, feature, coalesce(idf, 0) AS idf FROM f LEFT JOIN w USING (feature) WHERE entry_id % 100 = 0),
+  s AS (SELECT query_id, mf.entry_id, mf.action, sum(q.idf) AS score FROM q JOIN mf USING (feature) GROUP BY ALL),
+  b AS (SELECT query_id, action, max(score) AS score FROM s GROUP BY ALL),
+  e AS (SELECT qq.query_id, aa.action FROM (SELECT DISTINCT query_id FROM q) qq, (SELECT DISTINCT action FROM m) aa),
+  r AS (SELECT query_id, action, round(coalesce(score, 0.0), 6) AS score FROM e LEFT JOIN b USING (query_id, action))
+  SELECT *, {RANK} AS rank FROM r""")
+def knn_sign_bits_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = model.last_instances(model.dense_sequence(ad.vector_instances(spark, sf_dir), "entry_id")).select("entry_id", "action")
+    features = ad.vector_features(spark, sf_dir)
+    own = features.join(F.broadcast(held.select("entry_id")), "entry_id")
+    weights = model.document_frequency(own, "entry_id").select("feature", ft.idf(F.lit(held.count()), F.col("df")).alias("idf"))
+    return ranking.knn(features.where(F.col("entry_id") % 100 == 0).withColumnRenamed("entry_id", "query_id"), own, held, weights)
+
+
+@query()
+def dom_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ad.page_scopes(spark, sf_dir)

@@ -86,3 +86,33 @@ def page_features(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.string(), pa.string(), pa.int64()))], names=["tree_id", "kind", "feature", "cnt"])
 
     return table(spark, sf_dir, "pages").select("page_id", "html").mapInArrow(run, TREE_FEATURES)
+
+
+def page_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tree_id, node_id, last): the preorder numbers each node of a page spans."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(key, *s) for key, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for s in trees.scopes(trees.from_html(html))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["tree_id", "node_id", "last"])
+
+    return table(spark, sf_dir, "pages").select("page_id", "html").mapInArrow(run, "tree_id long, node_id long, last long")
+
+
+def vector_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(entry_id, feature): the sign of each dimension."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("entry_id"), F.posexplode("embedding").alias("i", "x")).select("entry_id", F.concat(F.lit("d"), F.col("i").cast("string"), F.when(F.col("x") >= 0, "+").otherwise("-")).alias("feature"))
+
+
+def vector_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("entry_id"), F.col("label").cast("string").alias("action"))
+
+
+def library_file(path: str, extension: str = "eval") -> str:
+    """The file beside a library's source: its logical path's last part, with another extension."""
+    return f"{path.replace('.', '/')}.{extension}"
+
+
+def seconds_of(encoded: int) -> float:
+    """Time limits from 100,000 on stand for ten-millionths of a second."""
+    return encoded / 1e7 if encoded >= 100_000 else float(encoded)
