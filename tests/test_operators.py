@@ -195,6 +195,7 @@ def test_lineage(spark):
     printed = ["admit", "synth", "synthesis", "SYNTH WITH CACHE x", "fix y", "cofix", "exact_no_checK t", "apply", None]
     df = spark.createDataFrame([(i, p, i == 7) for i, p in enumerate(printed)], "i int, printed string, ignored boolean")
     assert rows(lineage.recorded(df), "i") == [(2,), (7,), (8,)] and rows(lineage.recorded(df, ignored="ignored"), "i") == [(2,), (8,)]
+    assert rows(lineage.recorded(df, scope_words=("app",)), "i") == [(2,), (8,)]
     before, after = spark.createDataFrame([(1, "a"), (2, "b")], "state_id long, state string"), spark.createDataFrame([(1, 1, "y"), (1, 0, "x")], "state_id long, ord int, state string")
     assert rows(lineage.paired(before, after), "state", "after") == [("a", ["x", "y"]), ("b", [])]
     lib = spark.createDataFrame([("n", "n"), ("m", "n")], "canonical string, name string")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Printed actions that are never recorded, whole and by their beginning.
 SKIPPED = ("admit", "synth")
-SKIPPED_PREFIXES = ("synth with cache", "tactician ignore", "fix", "cofix", "change_no_check", "exact_no_check", "native_cast_no_check", "vm_cast_no_check", "shelve")
+SKIPPED_PREFIXES = ("synth with cache", "fix", "cofix", "change_no_check", "exact_no_check", "native_cast_no_check", "vm_cast_no_check", "shelve")
 
 
 def replayed(rows: DataFrame, recording: bool = True) -> DataFrame:
@@ -21,11 +21,12 @@ def paired(before: DataFrame, after: DataFrame, key: str = "state_id") -> DataFr
     return before.join(grouped, key, "left").withColumn("after", F.coalesce(F.transform("after", lambda x: x["state"]), F.array().cast("array<string>")))
 
 
-def recorded(rows: DataFrame, printed: str = "printed", ignored: str | None = None) -> DataFrame:
-    """Rows whose printed action is none of the skipped ones; what can't be printed (null) is kept, what an ignoring scope covers is not."""
+def recorded(rows: DataFrame, printed: str = "printed", ignored: str | None = None, scope_words: tuple[str, ...] = ()) -> DataFrame:
+    """Rows whose printed action is none of the skipped ones; what can't be printed (null) is kept, what an
+    ignoring scope covers, by the column `ignored` or by how it begins (scope_words), is not."""
     text = F.lower(F.col(printed))
     skip: Column = text.isin(*SKIPPED)
-    for p in SKIPPED_PREFIXES:
+    for p in (*SKIPPED_PREFIXES, *scope_words):
         skip = skip | text.startswith(p)
     kept = rows.where(~F.coalesce(skip, F.lit(False)))
     return kept if ignored is None else kept.where(~F.coalesce(F.col(ignored), F.lit(False)))

@@ -187,7 +187,7 @@ def record_pair_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 SAID = "CASE doc_id % 7 WHEN 0 THEN 'admit' WHEN 1 THEN 'Fix x' WHEN 2 THEN 'synth with cache ' || source WHEN 3 THEN NULL WHEN 4 THEN 'shelve' WHEN 5 THEN 'synthetic' ELSE 'apply ' || source END"
 
 
-@query(f"SELECT doc_id, printed FROM (SELECT doc_id, {SAID} AS printed, doc_id % 11 = 0 AS ignored FROM documents) WHERE NOT ignored AND (printed IS NULL OR NOT (lower(printed) IN ('admit', 'synth') OR regexp_matches(lower(printed), '^(synth with cache|tactician ignore|fix|cofix|change_no_check|exact_no_check|native_cast_no_check|vm_cast_no_check|shelve)')))")
+@query(f"SELECT doc_id, printed FROM (SELECT doc_id, {SAID} AS printed, doc_id % 11 = 0 AS ignored FROM documents) WHERE NOT ignored AND (printed IS NULL OR NOT (lower(printed) IN ('admit', 'synth') OR regexp_matches(lower(printed), '^(synth with cache|fix|cofix|change_no_check|exact_no_check|native_cast_no_check|vm_cast_no_check|shelve)')))")
 def record_filter_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ad.table(spark, sf_dir, "documents").select("doc_id", F.expr(SAID).alias("printed"), (F.col("doc_id") % 11 == 0).alias("ignored"))
     return lineage.recorded(rows, ignored="ignored").select("doc_id", "printed")
