@@ -136,12 +136,9 @@ def pack_documents(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     pieces = cut.select("k", "piece", (F.col("i") * top).alias("start"), F.least(F.col("n") - F.col("i") * top, F.lit(top)).cast("int").alias("length"))
     pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("k", "piece"), F.lit(salts)).cast("int"))
     pieces = scratch.save(pieces, "pieces")
-    cells = pieces.where("length > 0").groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).collect()  # at most the largest capacity times the salts
-    histogram: dict[int, int] = {}
-    before = []
-    for r in sorted(cells, key=lambda r: (r["length"], r["salt"])):
-        before.append((r["length"], r["salt"], histogram.get(r["length"], 0)))
-        histogram[r["length"]] = histogram.get(r["length"], 0) + r["n"]
+    cells = scratch.save(pieces.where("length > 0").groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")), "cells", small=True)
+    # one row a length, at most the largest capacity
+    histogram = {r["length"]: r["n"] for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     placed, groups = best_pack(histogram, capacities, overhead) if histogram else ([], [])
     size = sorted(groups)
     firsts = [g[0] for g in size]
@@ -158,9 +155,10 @@ def pack_documents(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     plan = spark.createDataFrame(rows, "length int, lo long, hi long, bin long, first_offset int, per int, bin_capacity int")
     if len(rows) <= BROADCAST_ROWS:
         plan = F.broadcast(plan)
-    starts = spark.createDataFrame(before, "length int, salt int, before long")
+    earlier = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cells.select("length", "salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     order = Window.partitionBy("length", "salt").orderBy("k", "piece")
-    ranked = pieces.where("length > 0").withColumn("r", F.row_number().over(order)).join(F.broadcast(starts), ["length", "salt"]).withColumn("rank", F.col("before") + F.col("r") - 1)
+    ranked = pieces.where("length > 0").withColumn("r", F.row_number().over(order)).join(starts, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("r") - 1)
     filled = ranked.alias("x").join(plan.alias("y"), F.expr("x.length = y.length and x.rank >= y.lo and x.rank < y.hi"))
     filled = filled.select("k", "piece", "start", F.col("x.length").alias("length"), F.expr("bin + (rank - lo) div per").alias("bin_id"), "bin_capacity", F.expr("cast(first_offset + (rank - lo) % per * x.length as int)").alias("bin_offset"))
     empty = pieces.where("length = 0").select("k", "piece", "start", "length", F.lit(None).cast("long").alias("bin_id"), F.lit(None).cast("int").alias("bin_capacity"), F.lit(None).cast("int").alias("bin_offset"))
