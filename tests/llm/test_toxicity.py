@@ -10,6 +10,7 @@ def test_fold_lookalikes_digits_and_invisible():
     assert tx.fold("1DФ0T".replace("Ф", "i")) == "idiot"
     assert tx.fold("mоr​on") == "moron"
     assert tx.fold("Ｓtup1d") == "stupid"
+    assert tx.fold("LO$ER!! id!ot, scum!") == "loser!! idiot, scum!"
     assert tx.fold(None) == ""
 
 
@@ -47,6 +48,13 @@ def test_learns_stems_and_scores(spark):
     assert tx.learn(docs, labels.limit(0)).terms.keys() == set(tx.SEED_TERMS)
 
 
+def test_beginnings_explained_by_sharper_terms_go():
+    counts = {"los*": (80, 60), "loser": (56, 0), "lost*": (20, 0), "alone*": (80, 60)}
+    good = tx.chosen(counts, 100, 8000)
+    assert "los*" not in good and {"loser", "lost*", "alone*"} <= set(good)
+    assert "weak" not in tx.chosen({"weak": (46, 45)}, 1735, 7965)
+
+
 def test_long_text_and_repeats(spark):
     docs = spark.createDataFrame([(1, "idiot " + "calm words " * 30000), (1, "idiot " + "calm words " * 30000)], "doc_id long, text string")
     out = tx.score(docs, tx.Lexicon({"idiot": 6.0}, 0.5)).collect()

@@ -20,8 +20,10 @@ LOOKALIKES = {
     "а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "ɡ": "g",
     "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ł": "l", "ø": "o",
 }
-#: Digits and signs that stand for a letter.
-LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
+#: Digits that stand for a letter, and signs that do so before a letter or digit.
+LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b"}
+SIGNS = {"@": "a", "$": "s", "!": "i"}
+_SIGN = re.compile(r"[@$!](?=\w)")
 #: Fullwidth letters, made from the rule of their block.
 WIDE = {chr(0xFF41 + i): chr(97 + i) for i in range(26)}
 FOLD = str.maketrans(LOOKALIKES | LEET | WIDE | {c: "" for c in "\u200b\u200c\u200d\u00ad\u2060"})
@@ -31,13 +33,19 @@ SEED_TERMS = ("idiot", "moron", "stupid", "loser", "scum", "pathetic", "disgusti
 #: Within these, a term does not count.
 EXCEPTIONS = ("idiot proof", "idiot-proof", "stupid simple", "trash can", "trash bin", "sore loser rule", "clown fish", "class clown", "pathetic fallacy", "scum line", "the idiot by dostoevsky")
 
+#: A learned term's log ratio of shares (copies make weaker ones look sure), and the log-likelihood ratio against chance.
+LEAST_WEIGHT, LEAST_GAIN = 4.0, 25.0
+
 LETTERS = re.compile(r"[^\W\d_]+")
 PREFIXES = range(3, 11)
 
 
 def fold(text: str | None) -> str:
     """Lower case, with look-alike letters, digits that stand for letters and invisible characters folded away."""
-    return (text or "").lower().translate(FOLD)
+    text = (text or "").lower()
+    if any(c in text for c in SIGNS):
+        text = _SIGN.sub(lambda m: SIGNS[m.group()], text)
+    return text.translate(FOLD)
 
 
 @dataclass
@@ -122,7 +130,7 @@ def chosen(counts: dict[str, tuple[int, int]], n_pos: int, n_neg: int) -> dict[s
     good = {}
     for term, (pos, neg) in counts.items():
         weight = math.log((pos + 0.5) / (n_pos + 1)) - math.log((neg + 0.5) / (n_neg + 1))
-        if pos >= 3 and weight >= 1.5 and gain(pos, neg) >= 25:
+        if pos >= 3 and weight >= LEAST_WEIGHT and gain(pos, neg) >= LEAST_GAIN:
             good[term] = weight
     dropped = set()
     for term in good:  # of a word and its beginnings, the most specific that is as frequent
@@ -131,6 +139,14 @@ def chosen(counts: dict[str, tuple[int, int]], n_pos: int, n_neg: int) -> dict[s
             shorter = stem[:k] + "*"
             if shorter in good and shorter != term and counts[term][0] >= 0.9 * counts[shorter][0]:
                 dropped.add(shorter)
+    covered: Counter[str] = Counter()
+    for term, weight in good.items():  # a beginning whose toxic texts are mostly those of clearly sharper terms says nothing itself
+        stem = term.rstrip("*")
+        for k in range(PREFIXES.start, len(stem) + (not term.endswith("*"))):
+            shorter = stem[:k] + "*"
+            if shorter in good and shorter != term and weight >= good[shorter] + 1.5:
+                covered[shorter] += counts[term][0]
+    dropped |= {t for t, n in covered.items() if 2 * n >= counts[t][0]}
     good = {t: w for t, w in good.items() if t not in dropped}
     for term in SEED_TERMS:
         pos, neg = counts.get(term, (0, 0))
