@@ -12,7 +12,7 @@ from tracelore.llm.common import Scratch
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the lexicon, learned from all labelled ones, scores below 0.5."""
     lexicon = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, lexicon).where(F.col("toxic_score") < 0.5).select(*docs.columns)
+    return toxicity.clean(docs, lexicon)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,6 +61,12 @@ def test_long_text_and_repeats(spark):
     assert len(out) == 2 and out[0]["toxic_score"] == out[1]["toxic_score"] > 0
 
 
+def test_clean_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "idiot", 7), (2, "calm", 8), (3, None, 9)], "doc_id long, text string, weight int")
+    kept = tx.clean(docs, tx.Lexicon({"idiot": 6.0}, 0.5))
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [(2, "calm", 8), (3, None, 9)]
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     out = op1_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where(fold_of("doc_id") == 0)

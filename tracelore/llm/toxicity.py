@@ -248,3 +248,11 @@ def score(docs: DataFrame, lexicon: Lexicon, *, text: str = "text", keep: list[s
     x = F.col("weight") / F.log2(F.lit(8.0) + F.col("n_chars_read") / 100)
     kept = [c for c in (keep if keep is not None else docs.columns) if c not in ("toxic_score",)]
     return weigh(docs, lexicon, text=text, keep=kept).withColumn("toxic_score", x / (x + lexicon.threshold))
+
+
+def clean(docs: DataFrame, lexicon: Lexicon, *, text: str = "text", least: float = 0.5) -> DataFrame:
+    """Rows of docs, all columns as they are whatever their names, that score below `least`."""
+    columns = docs.columns
+    renamed = docs.toDF(*(f"c{i}" for i in range(len(columns))))
+    at = f"c{columns.index(text)}"
+    return score(renamed, lexicon, text=at).where(F.col("toxic_score") < least).select(*renamed.columns).toDF(*columns)
