@@ -177,12 +177,18 @@ def reading(path: str):
 
 
 def publish(path: str, data: bytes | memoryview) -> None:
-    """Write a file under a name of its own, then rename it: a task that is run again replaces it whole."""
+    """Write a file under a name of its own, then rename it. A task that is run again makes the same bytes: where a store does not
+    rename onto a file that exists, that one stays."""
     store, at = opened(path)
     own = f"{at}.{uuid.uuid4().hex}"
     with store.open_output_stream(own) as out:
         out.write(data)
-    store.move(own, at)
+    try:
+        store.move(own, at)
+    except OSError:
+        if store.get_file_info(at).type != pafs.FileType.File:
+            raise
+        store.delete_file(own)
 
 
 ARCHIVES = "archive string, records long, bytes long"
