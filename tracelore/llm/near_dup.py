@@ -240,8 +240,7 @@ def classes(docs: DataFrame, *, n: int = 5, pct: int = 80, text: str = "text", k
 def deduplicate(docs: DataFrame, *, n: int = 5, pct: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Rows of docs that are kept by classes(): one document of each group, with the columns of docs.
 
-    Rows that repeat a kept key all stay only if they are whole repetitions of each other's key; a table with unique keys
-    keeps one row a group. Rows with a null key stay if their class has no other key.
+    Keys should be unique: rows that repeat a kept key all stay, as they can't be told apart. Rows with a null key all stay.
     """
-    gone = classes(docs, n=n, pct=pct, text=text, key=key).where(~F.col("kept")).select(F.col(key).alias("__gone")).distinct()
-    return docs.join(gone, docs[key].eqNullSafe(F.col("__gone")), "left_anti")
+    gone = classes(docs, n=n, pct=pct, text=text, key=key).where(~F.col("kept") & F.col(key).isNotNull()).select(F.col(key).alias("__gone")).distinct()
+    return docs.join(gone, docs[key] == F.col("__gone"), "left_anti")
