@@ -231,3 +231,17 @@ def test_text_features(spark):
     got = h.select(ft.rendered(F.col("h"), F.lit("G")).alias("r"), ft.sexpr(F.col("h"), F.lit("G")).alias("s"), ft.map_hypotheses(F.col("h"), F.upper, lambda b: F.concat(b, b)).alias("m")).first()
     assert got["r"] == "x : nat, y := 0 : nat |- G" and got["s"] == "(State (Goal G) (Hypotheses ((x nat) (y nat 0))))"
     assert [tuple(m) for m in got["m"]] == [("x", None, "NAT"), ("y", "00", "NAT")]
+
+
+def test_normal_form_and_strategies(spark):
+    nodes = spark.createDataFrame([(1, 0, "Const", "plus", "file:3"), (1, 1, "Var", "x", None)], "tree_id long, node_id long, kind string, symbol string, loc string")
+    full = actions.normalized(nodes, spark.createDataFrame([("plus", "Nat.plus")], "symbol string, full string"))
+    assert "loc" not in full.columns and rows(full, "node_id", "symbol") == [(0, "Nat.plus"), (1, "x")]
+    assert rows(actions.preorder(full), "text") == [("Const:Nat.plus Var:x",)]
+    search.register("first", search.diagonal)
+    search.register("second", search.cheapest)
+    assert search.strategy() is search.cheapest
+    assert rows(ranking.interleaved(spark.createDataFrame([(1, "b", 1), (1, "a", 1), (1, "a", 2)], "query_id long, stream string, place int")), "rank", "stream") == [(0, "a"), (1, "b"), (2, "a")]
+    goals, deps = spark.createDataFrame([("g",)], "goal string"), spark.createDataFrame([("g", "a"), ("g", "b")], "src string, dst string")
+    done = spark.createDataFrame([("a", True), ("b", False)], "goal string, solved boolean")
+    assert rows(search.unsolved(goals, done, deps), "goal") == [("b",)]
