@@ -15,7 +15,7 @@ SEEN = {"intra": "d.seq < q.seq", "intrab": "d.step < q.step", "inter": "d.lemma
 
 
 def eval_sql(protocol: str) -> str:
-    return f"""SELECT q.seq, q.action AS truth, coalesce(k.rank, -1) AS truth_rank FROM ev q LEFT JOIN (
+    return f"""SELECT q.seq, q.action AS truth, CAST(coalesce(k.rank, -1) AS INTEGER) AS truth_rank FROM ev q LEFT JOIN (
       SELECT seq, action, row_number() OVER (PARTITION BY seq ORDER BY score DESC, action) - 1 AS rank FROM (
         SELECT p.seq, p.action, round(coalesce(max(s.score), 0.0), 6) AS score FROM (
           SELECT DISTINCT q.seq, d.action FROM ev q JOIN ev d ON d.seq < q.seq AND d.seq >= q.seq - 1000 AND {SEEN[protocol]}) p
@@ -70,7 +70,7 @@ def eval_file_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.split(rows, "1").select("entry_id", "action", "in_file")
 
 
-@query("""SELECT event_type AS kind, count(*) AS lemmas, count(*) FILTER (value > 50 AND event_id % 97 <= 60) AS solved, round(avg(value), 6) AS mean_time, sum(event_id % 97) AS inferences, sum(user_id % 7) AS predictions
+@query("""SELECT event_type AS kind, count(*) AS lemmas, count(*) FILTER (value > 50 AND event_id % 97 <= 60) AS solved, round(avg(value), 6) AS mean_time, CAST(sum(event_id % 97) AS BIGINT) AS inferences, CAST(sum(user_id % 7) AS BIGINT) AS predictions
   FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_nationkey < 20) GROUP BY event_type""")
 def bench_outcomes_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = ad.table(spark, sf_dir, "events").select(F.col("user_id").alias("lemma"), F.col("event_type").alias("kind"), F.col("value").alias("time"), (F.col("event_id") % 97).alias("inferences"), (F.col("user_id") % 7).alias("predictions"), (F.col("value") > 50).alias("solved"))
@@ -136,7 +136,7 @@ def solved_check(spark: SparkSession, sf_dir: str) -> DataFrame:
   r AS (SELECT n_nationkey AS node, n_nationkey AS reached FROM nation UNION SELECT r.node, e.dst FROM r JOIN e ON e.src = r.reached)
   SELECT node, reached FROM r""")
 def deps_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = ad.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_regionkey").cast("long").alias("r"))
+    n = ad.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("r"))
     edges = n.select(F.col("k").alias("src"), ((F.col("k") * 7 + 3) % 25).alias("dst")).unionByName(n.select(F.col("k").alias("src"), (F.col("r") + 100).alias("dst")))
     return search.closure(spark, edges, n.select(F.col("k").alias("node")))
 
@@ -145,14 +145,14 @@ def deps_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
   r AS (SELECT n_nationkey AS node, n_nationkey AS reached FROM nation UNION SELECT r.node, e.dst FROM r JOIN e ON e.src = r.reached)
   SELECT n_nationkey AS node, n_nationkey IN (SELECT node FROM r JOIN nation x ON x.n_nationkey = r.reached WHERE x.n_regionkey = 0) AS contains FROM nation""")
 def contains_transitive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = ad.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("node"), F.col("n_regionkey").alias("r"))
+    n = ad.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_regionkey").alias("r"))
     edges = n.select(F.col("node").alias("src"), ((F.col("node") * 7 + 3) % 25).alias("dst"))
     hit = search.closure(spark, edges, n.select("node")).join(n.where("r = 0").select(F.col("node").alias("reached")), "reached", "left_semi").select("node", F.lit(True).alias("contains")).distinct()
     return n.select("node").join(hit, "node", "left").withColumn("contains", F.coalesce("contains", F.lit(False)))
 
 
-@query("""SELECT user_id AS query_id, event_type AS stream, place, row_number() OVER (PARTITION BY user_id ORDER BY place, event_type) - 1 AS rank
-  FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS place FROM events)""")
+@query("""SELECT user_id AS query_id, event_type AS stream, place, CAST(row_number() OVER (PARTITION BY user_id ORDER BY place, event_type) - 1 AS INTEGER) AS rank
+  FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS INTEGER) AS place FROM events)""")
 def interleave_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("event_id"))
     return ranking.interleaved(ad.table(spark, sf_dir, "events").select(F.col("user_id").alias("query_id"), F.col("event_type").alias("stream"), place.alias("place")))
@@ -162,14 +162,14 @@ def interleave_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
   k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, action) - 1 AS rank FROM c),
   w AS (SELECT *, coalesce(sum(solves::INT) OVER b, 0) AS s, coalesce(sum(progresses::INT) OVER b, 0) AS p FROM k WINDOW b AS (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
   t AS (SELECT *, max(solves::INT) OVER (PARTITION BY query_id) AS found FROM w WHERE s < 2 AND p < 10000)
-  SELECT query_id, action, rank, solves, progresses, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS suggestion FROM t WHERE (found = 1 AND solves) OR (found = 0 AND progresses AND p < 2)""")
+  SELECT query_id, action, CAST(rank AS INTEGER) AS rank, solves, progresses, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS suggestion FROM t WHERE (found = 1 AND solves) OR (found = 0 AND progresses AND p < 2)""")
 def suggest_filter_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = ad.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("query_id"), F.col("event_type").alias("action")).agg(F.count(F.lit(1)).alias("score"), (F.max("value") > 150).alias("solves"), (F.count(F.lit(1)) > 1).alias("progresses"))
     return ranking.suggested(ranking.ranked(c), p=2).select("query_id", "action", "rank", "solves", "progresses", "suggestion")
 
 
 @query(f"""WITH {EVT}, a AS (SELECT entry_id AS query_id, action, 0 AS b, 0 AS r FROM ev), z AS (SELECT entry_id, 'idtac', 1, 0 FROM ev WHERE status = 'Substituted')
-  SELECT query_id, action, b AS block, row_number() OVER (PARTITION BY query_id ORDER BY b, r) - 1 AS rank FROM (SELECT * FROM a UNION ALL SELECT * FROM z)""")
+  SELECT query_id, action, b AS block, CAST(row_number() OVER (PARTITION BY query_id ORDER BY b, r) - 1 AS INTEGER) AS rank FROM (SELECT * FROM a UNION ALL SELECT * FROM z)""")
 def rank_concat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = ad.event_instances(spark, sf_dir)
     first = e.select(F.col("entry_id").alias("query_id"), "action", F.lit(0).alias("rank"), F.lit(0.0).alias("confidence"))

@@ -30,7 +30,7 @@ KNN = ORD + """,
   b AS (SELECT query_id, action, max(score) AS score FROM s GROUP BY ALL),
   e AS (SELECT qq.query_id, aa.action FROM (SELECT DISTINCT query_id FROM q) qq, (SELECT DISTINCT action FROM m) aa),
   r AS (SELECT query_id, action, round(coalesce(score, 0.0), 6) AS score FROM e LEFT JOIN b USING (query_id, action))"""
-RANK = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, action) - 1"
+RANK = "CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, action) - 1 AS INTEGER)"
 
 
 def order_model(spark: SparkSession, sf_dir: str):
@@ -157,7 +157,7 @@ def rank_take_confidence_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("query_id", "action", "rank", ranking.rank_confidence(F.col("rank")).alias("confidence"))
 
 
-@query(f"WITH {KNN.format(weight='1.0')}, k AS (SELECT *, {RANK} AS rank FROM r) SELECT o_orderkey AS query_id, o_orderpriority AS truth, coalesce(rank, -1) AS truth_rank FROM orders LEFT JOIN k ON query_id = o_orderkey AND action = o_orderpriority WHERE o_orderkey % 100 = 0")
+@query(f"WITH {KNN.format(weight='1.0')}, k AS (SELECT *, {RANK} AS rank FROM r) SELECT o_orderkey AS query_id, o_orderpriority AS truth, CAST(coalesce(rank, -1) AS INTEGER) AS truth_rank FROM orders LEFT JOIN k ON query_id = o_orderkey AND action = o_orderpriority WHERE o_orderkey % 100 = 0")
 def rank_of_truth_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     truths = ad.order_instances(spark, sf_dir).where(F.col("entry_id") % 100 == 0).select(F.col("entry_id").alias("query_id"), F.col("action").alias("truth"))
     return ranking.rank_of_truth(truths, knn_rank_orders(spark, sf_dir))
@@ -218,7 +218,7 @@ def turn_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.signatures(ad.turn_features(spark, sf_dir), ad.turn_instances(spark, sf_dir))
 
 
-@query(f"WITH {LSH} SELECT entry_id, trie, signature FROM sig")
+@query(f"WITH {LSH} SELECT entry_id, CAST(trie AS INTEGER) AS trie, signature FROM sig")
 def lsh_signature_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_signatures(spark, sf_dir)
 
@@ -228,7 +228,7 @@ def turn_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.candidates(sigs.where(F.col("entry_id") % 100 == 0).withColumnRenamed("entry_id", "query_id"), sigs)
 
 
-@query(f"WITH {CAND} SELECT query_id, entry_id, trie, level FROM cand")
+@query(f"WITH {CAND} SELECT query_id, entry_id, CAST(trie AS INTEGER) AS trie, CAST(level AS INTEGER) AS level FROM cand")
 def lsh_candidates_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_candidates(spark, sf_dir)
 
