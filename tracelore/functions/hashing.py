@@ -21,6 +21,11 @@ def seeded(seed: Column | int, token: Column) -> Column:
     return portable_id(F.concat(seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed)), F.lit(":"), token))
 
 
+def seeded_hex(seed: int, token: Column) -> Column:
+    """seeded() as eight hexadecimal digits, which order as the numbers do."""
+    return F.substring(F.md5(F.concat(F.lit(f"{seed}:"), token)), 1, 8)
+
+
 def action_hash(normal: Column) -> Column:
     """Identity of an action: the hash of its normal form."""
     return portable_id(normal)

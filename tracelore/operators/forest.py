@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import seeded
+from ..functions.hashing import seeded_hex
 
 
 def seeds(tries: int, depth: int) -> list[tuple[int, int, int]]:
@@ -20,9 +20,10 @@ def signatures(features: DataFrame, instances: DataFrame, *, tries: int = 11, de
     """
     numbers = seeds(tries, depth)
     distinct = features.select(key, feature).distinct()
-    minima = [F.min(seeded(s, F.col(feature))).alias(f"m{t}_{d}") for t, d, s in numbers]
+    # hashes compare as hexadecimal strings of one length, and the last digit says whether one is even
+    minima = [F.min(seeded_hex(s, F.col(feature))).alias(f"m{t}_{d}") for t, d, s in numbers]
     rows = instances.select(key).join(distinct.groupBy(key).agg(*minima), key, "left")
-    bit = lambda t, d: F.when(F.coalesce(F.col(f"m{t}_{d}"), F.lit(1)) % 2 == 0, F.lit("1")).otherwise(F.lit("0"))
+    bit = lambda t, d: F.when(F.substring(f"m{t}_{d}", 8, 1).isin(*"02468ace"), F.lit("1")).otherwise(F.lit("0"))
     per_trie = F.array(*(F.struct(F.lit(t).alias("trie"), F.concat(*(bit(t, d) for d in range(depth))).alias("signature")) for t in range(tries)))
     return rows.select(key, F.explode(per_trie).alias("s")).select(key, "s.trie", "s.signature")
 
