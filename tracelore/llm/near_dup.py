@@ -16,6 +16,8 @@ from .components import components
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 #: Shingles that are hashed at once.
 _CHUNK = 4096
+#: Parts that a hot bucket is spread over where its members only look something up.
+SALTS = 16
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -201,8 +203,11 @@ def classes(docs: DataFrame, *, n: int = 5, pct: int = 80, text: str = "text", k
 
     # what the hubs did not join: families (a hub and the members of its buckets) with members in different components
     placed = buckets.where("id <> hub").join(found.withColumnRenamed("node", "id"), "id", "left").select("bucket", "hub", "id", "size", F.coalesce("component", "id").alias("c"))
-    open_ = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
-    family = scratch.save(placed.join(open_, "bucket", "left_semi").select("hub", "id", "size", "c").distinct(), "family", small=True)
+    open_ = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
+    # a bucket of very many members is spread over salts
+    open_ = open_.select("bucket", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    placed = placed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    family = scratch.save(placed.join(open_, ["bucket", "salt"], "left_semi").select("hub", "id", "size", "c").distinct(), "family", small=True)
     scratch.drop("buckets")
     members = scratch.save(differences(family, sets), "members", small=True)
     marks = scratch.save(rare_marks(members, pct), "marks", small=True)
