@@ -67,6 +67,25 @@ def test_share_is_pmi_over_information(spark):
     assert abs(got[sn.signed(b"zanzibarov")] - 1) < 1e-9
 
 
+def rare(spark):
+    """One entity in one document, among 1,000 others; every word but two stands in many documents."""
+    told = [(0, "our friend Zanzibarov can be reached at zb@secret.org today")]
+    filler = [(i, f"today our friend and others can be reached at number {i}") for i in range(1, 1001)]
+    return spark.createDataFrame([*told, *filler], "doc_id long, text string")
+
+
+def test_terms_of_an_entity_in_one_document(spark):
+    text = "our friend Zanzibarov can be reached at zb@secret.org today"
+    by = {r["doc_id"]: r["all_spans"] for r in sn.detect(rare(spark)).collect()}
+    assert [text[s["start"] : s["end"]] for s in by[0] if s["kind"] == 4] == ["Zanzibarov"]
+    assert not any(s for i, s in by.items() if i)
+
+
+def test_few_documents_count_for_less(spark):
+    got = spark.createDataFrame([(1, 1), (2, 4), (3, 6), (0, 5)], "c long, df long").select(sn.estimated(F.col("c"), F.col("df"), 3)).collect()
+    assert [round(r[0], 4) for r in got] == [0.2065, 0.15, 0.5, 0.0]
+
+
 def test_terms_in_blocks_count_alike(spark, monkeypatch):
     docs = frame(spark)
     terms = spark.createDataFrame([(sn.signed(w),) for w in (b"friend", b"today", b"zanzibarov", b"nowhere")], "t long")

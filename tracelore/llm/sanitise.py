@@ -28,8 +28,10 @@ _EDGE = ".,;:!?()[]{}\"'"
 _EDGE_BYTES = _EDGE.encode()
 #: Words on either side of a protected entity that are its context.
 WINDOW = 6
-#: Documents in which a term stands beside an entity before co-occurrence is evidence.
+#: Documents in which a term stands beside an entity from which on their counts are taken as they are.
 SUPPORT = 3
+#: Below that support, the lower end of Wilson's 95 % interval stands for the share of a term's documents that are the entity's.
+DOUBT = 1.96
 #: Share of the entity's information that a term may give away.
 DISCLOSURE = 0.7
 #: Terms whose document frequencies one pass over the documents counts.
@@ -157,25 +159,34 @@ def document_frequency(docs: DataFrame, terms: DataFrame, *, text: str) -> DataF
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(want[some]), pa.array(total[some])], names=["t", "df"])
 
-        part = docs.select(text).mapInArrow(run, "t long, df long") if len(held.value) else spark.createDataFrame([], "t long, df long")
+        # a task for each core, as every task gives a row for each term it saw: with one for each file part rows would grow faster than the input
+        part = docs.select(text).coalesce(spark.sparkContext.defaultParallelism).mapInArrow(run, "t long, df long") if len(held.value) else spark.createDataFrame([], "t long, df long")
         out = part if out is None else out.unionByName(part)
     return out.groupBy("t").agg(F.sum("df").alias("df"))
 
 
+def estimated(c: Column, df: Column, support: int) -> Column:
+    """c / df from `support` documents on, else the lower end of its Wilson interval."""
+    p, z = c / df, DOUBT
+    low = (p + z * z / (2 * df) - z * F.sqrt(p * (1 - p) / df + z * z / (4 * df * df))) / (1 + z * z / df)
+    return F.when(c >= support, p).otherwise(low)
+
+
 def revealing(rows: DataFrame, docs: DataFrame, scratch: Scratch, *, text: str, support: int, disclosure: float) -> DataFrame:
     """(e, t, share): terms that give away at least the share `disclosure` of an entity's information.
 
-    With documents as the unit, PMI(e; t) = log2(N c(e, t) / (c(e) df(t))) and IC(e) = log2(N / c(e)); share is their ratio. c(e, t)
-    counts documents in which t stands in e's context and must reach support; df counts all documents of the corpus.
+    With documents as the unit, PMI(e; t) = log2(N p(e | t) / c(e)) and IC(e) = log2(N / c(e)); share is their ratio. p(e | t) is
+    c(e, t) / df(t), where c(e, t) counts documents in which t stands in e's context and df all documents of the corpus. No pair is
+    left out: with c(e, t) below support, the lower confidence bound of p stands for it, so one document counts, but for less.
     """
     n = rows.count()
     near = rows.where(F.size("near") > 0).select("uid", F.explode("near").alias("x")).select("uid", "x.e", "x.t").distinct()
-    pairs = near.groupBy("e", "t").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= support)
+    pairs = near.groupBy("e", "t").agg(F.count(F.lit(1)).alias("c"))
     pairs = scratch.save(pairs, "pairs", small=True)
     df = document_frequency(docs, pairs.select("t").distinct(), text=text)
     seen = rows.where(F.size("near") > 0).select("uid", F.explode("near.e").alias("e")).distinct().groupBy("e").agg(F.count(F.lit(1)).alias("c_e"))
     whole = pairs.join(df, "t").join(seen, "e")
-    pmi = F.log2(F.lit(float(n)) * F.col("c") / (F.col("c_e") * F.greatest("df", "c")))
+    pmi = F.log2(F.lit(float(n)) * estimated(F.col("c"), F.greatest("df", "c"), support) / F.col("c_e"))
     share = F.when(F.col("c_e") < n, pmi / F.log2(F.lit(float(n)) / F.col("c_e"))).otherwise(F.lit(0.0))
     return whole.select("e", "t", share.alias("share")).where(F.col("share") >= disclosure)
 
