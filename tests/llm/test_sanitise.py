@@ -81,6 +81,14 @@ def test_terms_of_an_entity_in_one_document(spark):
     assert not any(s for i, s in by.items() if i)
 
 
+def test_terms_far_from_the_entity_and_again(spark):
+    text = "Zanzibarov, our friend, " + "today our friend and others can be reached at number " * 3 + "zb@secret.org or as (zanzibarov)."
+    filler = [(i, f"today our friend and others can be reached at number {i}") for i in range(1, 1001)]
+    docs = spark.createDataFrame([(0, text), *filler], "doc_id long, text string")
+    by = {r["doc_id"]: r["all_spans"] for r in sn.detect(docs).collect()}
+    assert [text[s["start"] : s["end"]] for s in by[0] if s["kind"] == 4] == ["Zanzibarov", "zanzibarov"]
+
+
 def test_few_documents_count_for_less(spark):
     got = spark.createDataFrame([(1, 1), (2, 4), (3, 6), (0, 5)], "c long, df long").select(sn.estimated(F.col("c"), F.col("df"), 3)).collect()
     assert [round(r[0], 4) for r in got] == [0.2065, 0.15, 0.5, 0.0]

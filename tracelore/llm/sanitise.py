@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
 import re
-from bisect import bisect_left
 from collections.abc import Sequence
 
 import numpy as np
@@ -13,8 +11,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Scratch, gathered, map_column, small_batches, word_hashes, words
+from .common import STEP, Scratch, gathered, map_column, small_batches, word_hashes, words
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -26,15 +25,13 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGE = ".,;:!?()[]{}\"'"
 _EDGE_BYTES = _EDGE.encode()
-#: Words on either side of a protected entity that are its context.
-WINDOW = 6
-#: Documents in which a term stands beside an entity from which on their counts are taken as they are.
+#: Documents that a term shares with an entity from which on their counts are taken as they are.
 SUPPORT = 3
 #: Below that support, the lower end of Wilson's 95 % interval stands for the share of a term's documents that are the entity's.
 DOUBT = 1.96
 #: Share of the entity's information that a term may give away.
 DISCLOSURE = 0.7
-#: Terms whose document frequencies one pass over the documents counts.
+#: Terms whose counts a task gathers before it passes them on.
 TERM_BLOCK = 2_000_000
 
 
@@ -96,73 +93,86 @@ def lower(word: str) -> bytes:
     return b"".join(words(word))
 
 
-def contexts(text: str, spans: Sequence[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(entity, term, start, end) of the words within WINDOW words of each span, personal data itself left out."""
-    if not spans:
-        return []
-    found = [(m.start(), m.end()) for m in _WORD.finditer(text)]
-    ends = [e for _, e in found]
-    taken = [(s, e) for s, _, e in spans]
-    out = []
-    for s, kind, e in spans:
-        who = entity(kind, text[s:e])
-        first = bisect_left(ends, s + 1)
-        last = bisect_left(found, (e, 0))
-        for a, b in [*found[max(0, first - WINDOW) : first], *found[last : last + WINDOW]]:
-            if any(a < y and x < b for x, y in taken):
-                continue
-            core = text[a:b].strip(_EDGE)
-            if len(core) >= 3:
-                at = a + text[a:b].index(core)
-                out.append((who, signed(lower(core)), at, at + len(core)))
+def terms_of(text: str, spans: Sequence[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(term, start, end) of every word of a text, in order; what touches one of the spans is left out."""
+    taken: list[list[int]] = []
+    for s, _, e in sorted(spans):
+        if taken and s <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], e)
+        else:
+            taken.append([s, e])
+    out, i = [], 0
+    for m in _WORD.finditer(text):
+        a, b = m.span()
+        while i < len(taken) and taken[i][1] <= a:
+            i += 1
+        if i < len(taken) and taken[i][0] < b:
+            continue
+        core = m.group().strip(_EDGE)
+        if len(core) >= 3:
+            at = a + m.group().index(core)
+            out.append((signed(lower(core)), at, at + len(core)))
     return out
 
 
 SPAN = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("start", "kind", "end")]))
-CONTEXT = T.ArrayType(T.StructType([T.StructField("e", T.LongType()), T.StructField("t", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+LONGS = T.ArrayType(T.LongType())
+
+
+def listed(spans: Sequence[tuple[int, int, int]]) -> list[dict]:
+    return [dict(zip(("start", "kind", "end"), x, strict=True)) for x in spans]
 
 
 def found(docs: DataFrame, *, text: str, keep: list[str]) -> DataFrame:
-    """base (spans by form) and near (context words) of each row."""
+    """base (spans by form) of each row, and where there are any the distinct entities, all other terms, and the text itself as body."""
 
     def setup():
         def work(texts):
             base = [base_spans(t) for t in texts]
-            near = [contexts(t, b) if b else [] for t, b in zip(texts, base, strict=True)]
-            return [[[dict(zip(("start", "kind", "end"), x, strict=True)) for x in b] for b in base], [[dict(zip(("e", "t", "start", "end"), x, strict=True)) for x in n] for n in near]]
+            both = list(zip(texts, base, strict=True))
+            who = [sorted({entity(k, t[s:e]) for s, k, e in b}) for t, b in both]
+            terms = [sorted({x for x, _, _ in terms_of(t, b)}) if b else [] for t, b in both]
+            return [[listed(b) for b in base], who, terms, [t if b else None for t, b in both]]
 
         return work
 
-    return map_column(docs, text, setup, [T.StructField("base", SPAN), T.StructField("near", CONTEXT)], keep)
+    return map_column(docs, text, setup, [T.StructField("base", SPAN), T.StructField("who", LONGS), T.StructField("terms", LONGS), T.StructField("body", T.StringType())], keep)
 
 
 def document_frequency(docs: DataFrame, terms: DataFrame, *, text: str) -> DataFrame:
-    """(t, df): in how many documents each of the terms stands, over all documents; terms in blocks of TERM_BLOCK."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    blocks = max(1, math.ceil(terms.count() / TERM_BLOCK))
-    out = None
-    for b in range(blocks):
-        mine = terms.where(F.pmod("t", F.lit(blocks)) == b) if blocks > 1 else terms
-        held = spark.sparkContext.broadcast(np.sort(np.array([r["t"] for r in mine.toLocalIterator()], np.int64)))  # at most 16 MB or so
-
-        def run(batches, held=held):
-            want = held.value
-            total = np.zeros(len(want), np.int64)
-            for batch in batches:
-                for t in batch.column(0).to_pylist():
-                    h = np.unique(word_hashes([w.strip(_EDGE_BYTES) for w in words(t)]))
-                    h = (h ^ np.uint64(1 << 63)).view(np.int64)
-                    at = np.searchsorted(want, h)
-                    at[at == len(want)] = 0
-                    total[at[want[at] == h]] += 1
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(want[some]), pa.array(total[some])], names=["t", "df"])
-
-        # a task for each core, as every task gives a row for each term it saw: with one for each file part rows would grow faster than the input
-        part = docs.select(text).coalesce(spark.sparkContext.defaultParallelism).mapInArrow(run, "t long, df long") if len(held.value) else spark.createDataFrame([], "t long, df long")
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("t").agg(F.sum("df").alias("df"))
+    """(t, df): in how many documents each of the terms stands, over all documents; a task passes its counts on by TERM_BLOCK terms."""
+    small_batches(docs.sparkSession)
+    most = TERM_BLOCK
+
+    def summed(parts):
+        t, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(t, kind="stable")
+        t, n = t[order], n[order]
+        first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+        return t[first], np.add.reduceat(n, first)
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, STEP):
+                texts = batch.column(0).slice(at, STEP).to_pylist()
+                each = [word_hashes(list({w.strip(_EDGE_BYTES) for w in words(t)})) for t in texts]
+                t, n = np.unique(np.concatenate(each), return_counts=True)
+                if not len(t):
+                    continue
+                held.append(((t ^ np.uint64(1 << 63)).view(np.int64), n))
+                size += len(t)
+                if size >= most:
+                    held = [summed(held)]
+                    size = len(held[0][0])
+                    if 2 * size >= most:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=["t", "df"])
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in summed(held)], names=["t", "df"])
+
+    part = docs.select(text).mapInArrow(run, "t long, df long")
+    return part.groupBy("t").agg(F.sum("df").alias("df")).join(terms, "t", "left_semi")
 
 
 def estimated(c: Column, df: Column, support: int) -> Column:
@@ -172,40 +182,71 @@ def estimated(c: Column, df: Column, support: int) -> Column:
     return F.when(c >= support, p).otherwise(low)
 
 
+def pairs(rows: DataFrame, docs: DataFrame, scratch: Scratch, *, text: str, disclosure: float) -> DataFrame:
+    """(uid, e, t, c_e, df, n): each entity with each term of the same document, less the pairs that cannot reach `disclosure`.
+
+    Entities of exactly the same documents have the same figures, so one of them stands for all. As c(e, t) is c(e) at
+    most, a term's own frequency shows which pairs cannot: those are never made.
+    """
+    n = float(rows.count())
+    known = rows.where(F.size("base") > 0)
+    member = known.select("uid", F.explode("who").alias("e"))
+    where = member.groupBy("e").agg(F.count(F.lit(1)).alias("c_e"), F.min("uid").alias("lo"), F.max("uid").alias("hi"), F.bit_xor(F.xxhash64("uid")).alias("x"))
+    one = where.groupBy("c_e", "lo", "hi", "x").agg(F.min("e").alias("e")).select("e", "c_e")
+    terms = known.select("uid", F.explode("terms").alias("t"))
+    df = document_frequency(docs, terms.select("t").distinct(), text=text)
+    near = terms.join(df, "t").join(member.join(one, "e"), "uid")
+    can = F.log2(n / F.col("df")) >= disclosure * F.log2(n / F.col("c_e")) - 1e-9
+    return scratch.save(near.where(can).select("uid", "e", "t", "c_e", "df", F.lit(n).alias("n")), "pairs", small=True)
+
+
+def disclosing(near: DataFrame, *, support: int, disclosure: float) -> DataFrame:
+    """(e, t, share) of the pairs that give away at least the share `disclosure`."""
+    whole = near.groupBy("e", "t").agg(F.count(F.lit(1)).alias("c"), F.first("c_e").alias("c_e"), F.first("df").alias("df"), F.first("n").alias("n"))
+    pmi = F.log2(F.col("n") * estimated(F.col("c"), F.greatest("df", "c"), support) / F.col("c_e"))
+    share = F.when(F.col("c_e") < F.col("n"), pmi / F.log2(F.col("n") / F.col("c_e"))).otherwise(F.lit(0.0))
+    return whole.select("e", "t", share.alias("share")).where(F.col("share") >= disclosure)
+
+
 def revealing(rows: DataFrame, docs: DataFrame, scratch: Scratch, *, text: str, support: int, disclosure: float) -> DataFrame:
-    """(e, t, share): terms that give away at least the share `disclosure` of an entity's information.
+    """(e, t, share): terms that give away at least the share `disclosure` of an entity's information; e as in pairs().
 
     With documents as the unit, PMI(e; t) = log2(N p(e | t) / c(e)) and IC(e) = log2(N / c(e)); share is their ratio. p(e | t) is
-    c(e, t) / df(t), where c(e, t) counts documents in which t stands in e's context and df all documents of the corpus. No pair is
-    left out: with c(e, t) below support, the lower confidence bound of p stands for it, so one document counts, but for less.
+    c(e, t) / df(t), where c(e, t) counts documents that have both, wherever in them, and df all documents of the corpus that have
+    t. With c(e, t) below support, the lower confidence bound of p stands for it, so one document counts, but for less.
     """
-    n = rows.count()
-    near = rows.where(F.size("near") > 0).select("uid", F.explode("near").alias("x")).select("uid", "x.e", "x.t").distinct()
-    pairs = near.groupBy("e", "t").agg(F.count(F.lit(1)).alias("c"))
-    pairs = scratch.save(pairs, "pairs", small=True)
-    df = document_frequency(docs, pairs.select("t").distinct(), text=text)
-    seen = rows.where(F.size("near") > 0).select("uid", F.explode("near.e").alias("e")).distinct().groupBy("e").agg(F.count(F.lit(1)).alias("c_e"))
-    whole = pairs.join(df, "t").join(seen, "e")
-    pmi = F.log2(F.lit(float(n)) * estimated(F.col("c"), F.greatest("df", "c"), support) / F.col("c_e"))
-    share = F.when(F.col("c_e") < n, pmi / F.log2(F.lit(float(n)) / F.col("c_e"))).otherwise(F.lit(0.0))
-    return whole.select("e", "t", share.alias("share")).where(F.col("share") >= disclosure)
+    return disclosing(pairs(rows, docs, scratch, text=text, disclosure=disclosure), support=support, disclosure=disclosure)
+
+
+def marked(rows: DataFrame) -> DataFrame:
+    """(uid, extra): every place in body of the terms in marks."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for text, base, marks in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                want = set(marks)
+                out.append(listed([(a, 4, b) for t, a, b in terms_of(text, [(s["start"], s["kind"], s["end"]) for s in base]) if t in want]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, to_arrow_type(SPAN))], names=["uid", "extra"])
+
+    return rows.select("uid", "body", "base", "marks").mapInArrow(run, T.StructType([T.StructField("uid", T.LongType()), T.StructField("extra", SPAN)]))
 
 
 def detect(docs: DataFrame, *, text: str = "text", key: str = "doc_id", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """key, base and all_spans (arrays of start, kind, end in code points, by start and then kind) for each row of docs.
 
-    base holds emails, ip addresses, cards and phones by form; all_spans also holds the terms in their contexts that give
-    away at least the share `disclosure` of an entity's information by co-occurrence over the whole corpus. Terms
-    touching one place for several entities count once. Null and empty texts have empty arrays. Rows may repeat, and each
-    is counted and returned; null keys pass through; other columns are not read; an empty table gives no rows.
+    base holds emails, ip addresses, cards and phones by form; all_spans also holds, at every place in the document, the terms
+    that give away at least the share `disclosure` of one of its entities' information by co-occurrence in documents of the whole
+    corpus. Null and empty texts have empty arrays. Rows may repeat, and each is counted and returned; null keys pass
+    through; other columns are not read; an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "sanitise")
     rows = scratch.save(found(docs, text=text, keep=[key]).withColumn("uid", F.monotonically_increasing_id()), "rows")
-    shown = scratch.save(revealing(rows, docs, scratch, text=text, support=support, disclosure=disclosure), "revealing", small=True)
-    places = rows.where(F.size("near") > 0).select("uid", F.explode("near").alias("x")).select("uid", "x.*").join(shown, ["e", "t"])
-    extra = places.groupBy("uid", "start", "end").agg(F.max("share").alias("share"))
-    extra = extra.groupBy("uid").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end")).alias("extra"))
-    out = gathered(rows.join(extra, "uid", "left"))
+    near = pairs(rows, docs, scratch, text=text, disclosure=disclosure)
+    shown = scratch.save(disclosing(near, support=support, disclosure=disclosure).select("e", "t"), "revealing", small=True)
+    marks = near.join(shown, ["e", "t"]).groupBy("uid").agg(F.collect_set("t").alias("marks"))
+    extra = marked(rows.where(F.size("base") > 0).join(marks, "uid"))
+    out = gathered(rows.select(key, "base", "uid").join(extra, "uid", "left"))
     none = F.array().cast(SPAN)
     return out.select(key, "base", F.array_sort(F.concat("base", F.coalesce("extra", none))).alias("all_spans"))
 
