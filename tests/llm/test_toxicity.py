@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +50,14 @@ def test_learns_stems_and_scores(spark):
     assert tx.learn(docs, labels.limit(0)).terms.keys() == set(tx.SEED_TERMS)
 
 
+def test_sharp_terms_behind_many_frequent_ones(spark):
+    r = random.Random(5)
+    common = " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)) for _ in range(4000))
+    docs = spark.createDataFrame([(i, common + " vrokzaph" * (i < 20)) for i in range(120)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(120)], "doc_id long, toxic int")
+    assert "vrokzaph" in tx.learn(docs, labels).terms
+
+
 def test_beginnings_explained_by_sharper_terms_go():
     counts = {"los*": (80, 60), "loser": (56, 0), "lost*": (20, 0), "alone*": (80, 60)}
     good = tx.chosen(counts, 100, 8000)

@@ -38,6 +38,8 @@ LEAST_WEIGHT, LEAST_GAIN = 4.0, 25.0
 
 LETTERS = re.compile(r"[^\W\d_]+")
 PREFIXES = range(3, 11)
+#: Terms of either class whose counts a task gathers before it passes them on.
+TERMS_HELD = 400_000
 
 
 def fold(text: str | None) -> str:
@@ -155,12 +157,20 @@ def chosen(counts: dict[str, tuple[int, int]], n_pos: int, n_neg: int) -> dict[s
     return good
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", label: str = "toxic", train: Column | None = None, max_toxic: int = 4000, max_clean: int = 8000, max_terms: int = 20000) -> Lexicon:
+def passing(n_pos: int, n_neg: int) -> Column:
+    """What chosen() asks of a term's weight and gain, over columns pos and neg; a little wider, as chosen() looks again."""
+    rate = (F.col("pos") + F.col("neg")) / (n_pos + n_neg)
+    part = lambda k, n: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / (n * rate))).otherwise(0.0)
+    weight = F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n_neg + 1))
+    return (F.col("pos") >= 3) & (weight >= LEAST_WEIGHT - 1e-6) & (2 * (part("pos", n_pos) + part("neg", n_neg)) >= LEAST_GAIN - 1e-6)
+
+
+def learn(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", label: str = "toxic", train: Column | None = None, max_toxic: int = 4000, max_clean: int = 8000) -> Lexicon:
     """Learn weights and the threshold from labelled rows.
 
     The classifier is fitted on a bounded sample: about max_toxic texts with label 1 and max_clean with label 0, drawn by a
-    hash of the key from all labelled rows for which train holds. max_terms bounds the candidate terms, the most
-    frequent among toxic texts first. A key with several labels counts as toxic if one of them says so; null keys and
+    hash of the key from all labelled rows for which train holds. Every word and beginning in it
+    is weighed in the cluster, and those that pass reach the driver. A key with several labels counts as toxic if one of them says so; null keys and
     labels are left out. Without toxic labels the seed terms alone are returned.
     """
     spark = docs.sparkSession
@@ -176,31 +186,29 @@ def learn(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str =
     scratch = Scratch(spark, "toxicity")
     # about 12,000 keys of the drawn sample, whatever the input, so that texts need not be shuffled
     sample = scratch.save(docs.select(F.col(key).alias("__k"), F.col(text).alias("__t")).join(F.broadcast(drawn), "__k").select("__t", "__y"), "sample")
-    schema = "term string, n long"
 
-    def count(only_toxic: bool, allowed: frozenset[str] | None):
-        def run(batches):
-            seen: Counter[str] = Counter()
-            for b in batches:
-                for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    if y == only_toxic:
-                        found = candidate_terms(t)
-                        seen.update(found if allowed is None else found & allowed)
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
+    def count(batches):
+        seen: tuple[Counter[str], Counter[str]] = Counter(), Counter()
 
-        return run
+        def told():
+            terms = list(seen[0].keys() | seen[1].keys())
+            return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([seen[y][t] for t in terms], pa.int64()) for y in (1, 0))], names=["term", "pos", "neg"])
 
-    def top(df: DataFrame, least: int) -> dict[str, int]:
-        total = df.groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        return {r["term"]: r["n"] for r in total.orderBy(F.desc("n"), "term").limit(max_terms).collect()}
+        for b in batches:
+            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                seen[y].update(candidate_terms(t))
+                if len(seen[0]) + len(seen[1]) >= TERMS_HELD:
+                    yield told()
+                    seen[0].clear(), seen[1].clear()
+        yield told()
 
     sizes = {r["__y"]: r["count"] for r in sample.groupBy("__y").count().collect()}
     n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
     if not n_pos or not n_neg:
         return Lexicon({t: 3.0 for t in SEED_TERMS})
-    pos = top(sample.mapInArrow(count(True, None), schema), 3)
-    neg = top(sample.mapInArrow(count(False, frozenset(pos) | frozenset(SEED_TERMS)), schema), 1)
-    lexicon = Lexicon(chosen({t: (pos.get(t, 0), neg.get(t, 0)) for t in {*pos, *neg}}, n_pos, n_neg))
+    totals = sample.mapInArrow(count, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = {r["term"]: (r["pos"] if r["pos"] >= 3 else 0, r["neg"]) for r in totals.where(passing(n_pos, n_neg) | F.col("term").isin(list(SEED_TERMS))).collect()}
+    lexicon = Lexicon(chosen(counts, n_pos, n_neg))
     scored = weigh(sample, lexicon, text="__t", keep=["__y"]).select("__y", "weight", "n_chars_read").collect()
     lexicon.threshold = best_threshold([(normalised(r["weight"], r["n_chars_read"]), r["__y"]) for r in scored])
     scratch.drop("sample")
