@@ -43,3 +43,14 @@ def test_html():
     assert trees.sexpr(t) == "(App (Const page) (App (Const div) (App (Const p) (Const br)) (App (Const a) (Var /x))))"
     assert trees.from_html(None) == trees.from_html("") == ("Const", "page", [])
     trees.size(trees.from_html("<div>" * 5000))
+
+
+def test_pages_of_any_depth():
+    n = 3000
+    t = trees.from_html("<div>" * n + "<b>x</b></div><i>y</i>" + "</div>" * (n - 1) + "<u>z</u>")
+    assert [role for role, _ in t[2]] == ["AppFun", "AppArg", "AppArg"] and t[2][2][1] == ("Const", "u", [])
+    assert trees.size(t) == 2 * (2 * (n + 1) + 3) - 1
+    assert trees.sexpr(t).endswith("(Const i))" + ")" * (n - 2) + " (Const u))")
+    found = {k for kind, k, _ in trees.complex_features(trees.from_html("<div>" * 300 + "<b>")) if kind == "Verti"}
+    assert "-".join(["Root", *["AppArg"] * 300, "b:AppArg"]) in found
+    assert len(trees.scopes(t)) == 2 * (n + 1) + 3

@@ -31,6 +31,7 @@ class Walk:
 
     Along an application's spine an atom is paired with the one before it: every argument starts after the head, a projection
     goes on after its constant, and a cast's type stands alone. Other constructions start afresh for each child and after it.
+    Generators stand for calls, so a tree may be of any depth; paths are as long as it is deep.
     """
 
     def __init__(self, length: int = 2):
@@ -49,6 +50,19 @@ class Walk:
 
     def visit(self, tree: Tree, role: str, depth: int, before: tuple[str, ...], path: tuple[str, ...]):
         """Returns the atoms before whatever follows, and the path as the walk leaves it."""
+        stack, value = [self.step(tree, role, depth, before, path)], None
+        while stack:
+            try:
+                inner = stack[-1].send(value)
+            except StopIteration as e:
+                stack.pop()
+                value = e.value
+            else:
+                stack.append(inner)
+                value = None
+        return value
+
+    def step(self, tree, role, depth, before, path):
         kind, symbol, children = tree
         if kind in ATOMS:
             token = atom(kind, symbol)
@@ -60,7 +74,7 @@ class Walk:
         else:
             path = (*path, role)
             if kind not in SILENT:
-                before, path = self.inside(kind, symbol, children, depth, before, path)
+                before, path = yield self.inside(kind, symbol, children, depth, before, path)
         if depth == CUT:
             self.shape.append("X")
         return before, path
@@ -72,20 +86,20 @@ class Walk:
         self.shape += ["(", kind]
         if kind == "App":
             (role, head), *arguments = children
-            after, left = self.visit(head, role, depth + 1, before, here)
+            after, left = yield self.step(head, role, depth + 1, before, here)
             self.shape.append(str(len(arguments)))
             for role, argument in arguments:
-                _, left = self.visit(argument, role, depth + 1, after, here)
+                _, left = yield self.step(argument, role, depth + 1, after, here)
             before, path = (), left
         elif kind == "Cast":
             by_role = dict(children)
-            _, left = self.visit(by_role["CastType"], "CastType", depth + 1, (), here)
-            before, path = self.visit(by_role["CastTerm"], "CastTerm", depth + 1, before, left)
+            _, left = yield self.step(by_role["CastType"], "CastType", depth + 1, (), here)
+            before, path = yield self.step(by_role["CastTerm"], "CastTerm", depth + 1, before, left)
         elif kind == "Proj":
-            before, path = self.visit(children[0][1], children[0][0], depth + 1, before, here)
+            before, path = yield self.step(children[0][1], children[0][0], depth + 1, before, here)
         else:
             for role, child in children:
-                _, path = self.visit(child, role, depth + 1, (), here)
+                _, path = yield self.step(child, role, depth + 1, (), here)
             before = ()
         self.shape.append(")")
         return before, path
@@ -131,8 +145,17 @@ def size(tree: Tree) -> int:
 
 
 def sexpr(tree: Tree) -> str:
-    kind, symbol, children = tree
-    return f"({' '.join([kind, *([symbol] if symbol is not None else []), *(sexpr(c) for _, c in children)])})"
+    out: list[str] = []
+    stack: list[Tree | None] = [tree]
+    while stack:
+        here = stack.pop()
+        if here is None:
+            out.append(")")
+            continue
+        kind, symbol, children = here
+        out.append(f"{' ' * (len(out) > 0)}({kind}{'' if symbol is None else ' ' + symbol}")
+        stack += [None, *(c for _, c in reversed(children))]
+    return "".join(out)
 
 
 _TAG = re.compile(r"<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>|<(/?)([A-Za-z][A-Za-z0-9]*)([^>]*)>", re.S)
@@ -142,31 +165,36 @@ _LINK = re.compile(r"""\b(?:href|src)\s*=\s*["']([^"']*)["']""")
 def from_html(html: str | None) -> Tree:
     """A page as a term: an element applies its tag to its children; a link's target is a variable. Text is left out.
 
-    A closing tag closes the nearest open element of its name, or nothing. Scripts, styles and comments are skipped. A null or
+    A closing tag closes the nearest open element of its name, or nothing. Nesting has no limit. Scripts, styles and comments are skipped. A null or
     empty page is the constant page.
     """
     root: list = ["page", []]
     open_: list[list] = [root]
+    names: Counter[str] = Counter()
+    made = [root]
     for m in _TAG.finditer(html or ""):
         if m.group(3) is None:
             continue
         tag = m.group(3).lower()
         if m.group(2):
-            at = next((i for i in range(len(open_) - 1, 0, -1) if open_[i][0] == tag), 0)
-            if at:
-                del open_[at:]
+            while names[tag]:
+                last = open_.pop()[0]
+                names[last] -= 1
+                if last == tag:
+                    break
             continue
         element = [tag, []]
         if link := _LINK.search(m.group(4)):
             element[1].append(("Var", unescape(link.group(1)), []))
         open_[-1][1].append(element)
-        if tag not in VOID and not m.group(4).endswith("/") and len(open_) < 200:
+        made.append(element)
+        if tag not in VOID and not m.group(4).endswith("/"):
             open_.append(element)
+            names[tag] += 1
 
-    def term(e):
-        if isinstance(e, tuple):
-            return e
+    terms: dict[int, Tree] = {}
+    for e in reversed(made):  # children come after their element
         head = ("Const", e[0], [])
-        return ("App", None, [("AppFun", head), *(("AppArg", term(c)) for c in e[1])]) if e[1] else head
-
-    return term(root)
+        inside = [("AppArg", c if isinstance(c, tuple) else terms.pop(id(c))) for c in e[1]]
+        terms[id(e)] = ("App", None, [("AppFun", head), *inside]) if inside else head
+    return terms[id(root)]
