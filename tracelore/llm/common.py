@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -71,9 +72,12 @@ def map_column(df: DataFrame, column: str, setup: Callable[[], Callable], fields
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests on one machine) a temporary one for this application."""
+    """The folder in spark.checkpoint.dir; where that is unset a temporary one for this application, but only if all runs in one
+    process: on a cluster, executors and driver would not see each other's files (ValueError)."""
     if base := spark.conf.get("spark.checkpoint.dir", None):
         return base.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     return _own_roots.setdefault(app, "file://" + tempfile.mkdtemp(prefix="tracelore-"))
 
@@ -109,9 +113,9 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{own_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
-    def save(self, df: DataFrame, name: str, small: bool = False) -> DataFrame:
-        """Write a table and read it again; small: gathered() first."""
-        (gathered(df) if small else df).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{name}")
+    def save(self, df: DataFrame, name: str, small: bool = False, rows_per_file: int = 0) -> DataFrame:
+        """Write a table and read it again; small: gathered() first; rows_per_file: for rows of megabytes."""
+        (gathered(df) if small else df).write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:

@@ -124,15 +124,21 @@ WITH tab AS (SELECT list_transform(range(256), lambda v: list_reduce(range(8), l
 ids AS (SELECT doc_id, text, xor(4294967295, list_reduce(list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda ch: ord(ch)::BIGINT),
     lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295)) % 5 AS fold FROM documents, tab),
 w AS (SELECT doc_id, fold <> 1 AS trained, list_concat(['<s>'], list_transform(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), lambda x: 'w' || x), ['</s>']) AS w FROM ids),
-x AS (SELECT doc_id, trained, w[i] AS a, w[i + 1] AS b FROM (SELECT doc_id, trained, w, unnest(range(1, len(w))) AS i FROM w)),
+x AS (SELECT doc_id, trained, CASE WHEN i > 1 THEN w[i - 1] END AS z, w[i] AS a, w[i + 1] AS b FROM (SELECT doc_id, trained, w, unnest(range(1, len(w))) AS i FROM w)),
 u AS (SELECT b, count(*) AS c FROM x WHERE trained GROUP BY b),
+h AS (SELECT a, count(*) AS c FROM x WHERE trained GROUP BY a),
 g AS (SELECT a, b, count(*) AS c FROM x WHERE trained GROUP BY a, b),
-t AS (SELECT sum(c)::BIGINT AS n, count(*) AS v, (SELECT count(*) FROM w WHERE trained) AS starts FROM u),
-p AS (SELECT x.doc_id, x.trained, coalesce(u.c, 0) AS c, (coalesce(u.c, 0) + 0.5::DOUBLE) / (n + 0.5::DOUBLE * (v + 1)) AS p,
-        CASE WHEN x.a = '<s>' THEN starts ELSE coalesce(h.c, 0) END AS hc, coalesce(g.c, 0) AS gc, n
-      FROM x CROSS JOIN t LEFT JOIN u ON u.b = x.b LEFT JOIN u h ON h.b = x.a LEFT JOIN g ON g.a = x.a AND g.b = x.b)
+j AS (SELECT z, a, b, count(*) AS c FROM x WHERE trained AND z IS NOT NULL GROUP BY z, a, b),
+k AS (SELECT 2.0::DOUBLE ** unnest(range(-2, 15)) AS k),
+k1 AS (SELECT coalesce(min(k), 16384) AS k FROM (SELECT k FROM k, h GROUP BY k HAVING sum(c * (k / (c - 1 + k))) >= (SELECT count(*) FROM g WHERE c = 1))),
+k2 AS (SELECT coalesce(min(k), 16384) AS k FROM (SELECT k FROM k, g WHERE b <> '</s>' GROUP BY k HAVING sum(c * (k / (c - 1 + k))) >= (SELECT count(*) FROM j WHERE c = 1))),
+t AS (SELECT sum(c)::BIGINT AS n, count(*) AS v, (SELECT k FROM k1) AS k1, (SELECT k FROM k2) AS k2 FROM u),
+q AS (SELECT x.doc_id, x.trained, coalesce(u.c, 0) AS c, (coalesce(u.c, 0) + 0.5::DOUBLE) / (n + 0.5::DOUBLE * (v + 1)) AS p,
+        coalesce(h.c, 0) AS h1, coalesce(g.c, 0) AS c1, coalesce(y.c, 0) AS h2, coalesce(j.c, 0) AS c2, n, k1, k2
+      FROM x CROSS JOIN t LEFT JOIN u ON u.b = x.b LEFT JOIN h ON h.a = x.a LEFT JOIN g ON g.a = x.a AND g.b = x.b LEFT JOIN g y ON y.a = x.z AND y.b = x.a LEFT JOIN j ON j.z = x.z AND j.a = x.a AND j.b = x.b),
+r AS (SELECT *, CASE WHEN h1 > 0 THEN (c1 + k1 * p) / (h1 + k1) ELSE p END AS p1 FROM q)
 SELECT doc_id, NOT trained AS held_out, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, any_value(n) AS train_tokens,
-  round(sum(log10(p)), 6) AS base_score, round(sum(log10((gc + 1000.0::DOUBLE * p) / (hc + 1000.0::DOUBLE))), 6) AS score
-FROM p GROUP BY doc_id, trained
+  round(sum(log10(p)), 6) AS base_score, round(sum(log10(CASE WHEN h2 > 0 THEN (c2 + k2 * p1) / (h2 + k2) ELSE p1 END)), 6) AS score
+FROM r GROUP BY doc_id, trained
     """,
 }
