@@ -50,11 +50,11 @@ def map_column(df: DataFrame, column: str, setup: Callable[[], Callable], fields
     """Rows of df with the columns in keep and new fields made from one column.
 
     setup() runs once in each task and returns a function from a list of values to one list for each field. A kept column
-    that has the name of a new field is left out, so that the operator's own result stands.
+    that has the name of a new field, in whatever case, is left out, so that the operator's own result stands.
     """
     small_batches(df.sparkSession)
-    made = {f.name for f in fields}
-    keep = [k for k in keep if k not in made]
+    made = {f.name.lower() for f in fields}
+    keep = [k for k in keep if k.lower() not in made]
     schema = T.StructType([df.schema[k] for k in keep] + fields)
     kinds = [to_arrow_type(f.dataType) for f in fields]
     names = schema.names
@@ -68,7 +68,8 @@ def map_column(df: DataFrame, column: str, setup: Callable[[], Callable], fields
                 out = work(part.column(n).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(n)), *(pa.array(v, k) for v, k in zip(out, kinds, strict=True))], names=names)
 
-    return df.select(*keep, F.col(column).alias("__value")).mapInArrow(run, schema)
+    # by place, as a kept column may have any name
+    return df.select(*(F.col(f"`{k}`").alias(f"c{i}") for i, k in enumerate(keep)), F.col(f"`{column}`").alias("value")).mapInArrow(run, schema)
 
 
 def shared_root(spark: SparkSession) -> str:
