@@ -15,6 +15,11 @@ SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: A host is rejected if the posterior mean of some rule's rate less REJECT_SD deviations is above MAX_RATE, and watched for a rule if
+#: it is above the rate of all hosts by WATCH_SD deviations (one-sided 95 %).
+MAX_RATE, REJECT_SD, WATCH_SD = 0.5, 1.0, 1.645
+#: A host with more than the 1/HOT part of all rows is joined apart: there are fewer than HOT of them, so their verdicts can be sent everywhere.
+HOT = 1000
 
 
 def repeated_words(tokens: list[bytes]) -> int:
@@ -61,7 +66,8 @@ def rules() -> dict[str, Column]:
     return {
         "base": base_failed(),
         "symbols": 10 * F.col("n_symbols") > 3 * F.col("n_words"),
-        "dup_lines": 10 * F.col("n_dup_lines") > 5 * F.col("n_lines"),
+        "dup_lines": 10 * F.col("n_dup_lines") > 2 * F.col("n_lines"),
+        "repeats": 10 * F.col("n_repeat_words") > 2 * F.col("n_words"),
         "word_length": (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 20 * F.col("n_words")),
     }
 
@@ -89,30 +95,50 @@ def fit_prior(hosts: float, docs: float, fails: float, squares: float, inverse:
     return BetaPrior(mean, min(1e6, max(1.0, (mean * (1 - mean) - var) / excess)) if excess > 0 else 1e6)
 
 
-def judge(docs: DataFrame, *, text: str = "text", host: Column | None = None, keep: list[str] | None = None, max_rate: float = 0.5) -> DataFrame:
-    """Measures, base_failed, the host's verdict and kept, for each row of docs, beside the columns in keep.
+def verdicts(hosts: DataFrame, *, max_rate: float = MAX_RATE) -> DataFrame:
+    """(host, n, host_rate, host_rejected, watched) from hosts (host, n, and k_<rule> for each of rules()).
 
-    For each rule the failures of a host's documents are counted over the whole table; its rate is shrunk toward the rate
-    of all hosts by a beta prior fitted to the hosts (moments). A host is rejected if for some rule the posterior mean less
-    one posterior standard deviation is above max_rate; then none of its documents is kept. host_rate is the
-    largest shrunk rate. host defaults to the column source. Documents without a host (null) are in no host's
-    counts and are judged by base_failed alone. Null and empty texts have zeros and fail the base rule. Repeated
-    rows count each time; a kept column named as a result gives way to it. An empty table gives no rows.
+    Each rule's rate is shrunk toward that of all hosts by a beta prior fitted to the hosts (moments). host_rate is the largest
+    shrunk rate; watched lists the rules, in their order, whose rate is larger than that of all hosts beyond doubt. Without hosts there are no rows.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "host-rules")
-    made = {*MEASURES, "base_failed", "host_rejected", "host_rate", "kept"}
-    keep = [k for k in (keep if keep is not None else docs.columns) if k not in made]
-    rows = measure(docs.withColumn("__host", F.col("source") if host is None else host), text=text, keep=[*keep, "__host"])
-    rows = scratch.save(rows.withColumn("base_failed", base_failed()), "rows")
-    hosts = scratch.save(rows.where("__host is not null").groupBy("__host").agg(F.count(F.lit(1)).alias("n"), *(F.sum(c.cast("long")).alias(f"k_{r}") for r, c in rules().items())), "hosts", small=True)
     sums = hosts.agg(F.count(F.lit(1)).alias("h"), F.sum("n").alias("n"), F.sum(1 / F.col("n")).alias("i"), *(F.sum(f"k_{r}").alias(f"k_{r}") for r in rules()), *(F.sum(F.col(f"k_{r}") * F.col(f"k_{r}") / F.col("n")).alias(f"s_{r}") for r in rules())).first()
-    verdicts, rates = [], []
+    rejected, rates, watched = [], [], []
     for r in rules():
         p = fit_prior(sums["h"], sums["n"] or 0, sums[f"k_{r}"] or 0, sums[f"s_{r}"] or 0, sums["i"] or 0)
         rate = (F.col(f"k_{r}") + p.mean * p.strength) / (F.col("n") + p.strength)
-        verdicts.append(rate - F.sqrt(rate * (1 - rate) / (F.col("n") + p.strength + 1)) > max_rate)
+        sd = F.sqrt(rate * (1 - rate) / (F.col("n") + p.strength + 1))
+        rejected.append(rate - REJECT_SD * sd > max_rate)
+        watched.append(F.when(rate - WATCH_SD * sd > p.mean, F.lit(r)))
         rates.append(rate)
-    judged = hosts.select("__host", F.greatest(*rates).alias("host_rate"), F.array_contains(F.array(*verdicts), True).alias("host_rejected"))
-    out = rows.join(judged, "__host", "left").withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected")).drop("__host")
+    return hosts.select("host", "n", F.greatest(*rates).alias("host_rate"), F.array_contains(F.array(*rejected), True).alias("host_rejected"), F.array_compact(F.array(*watched)).alias("watched"))
+
+
+def judge(docs: DataFrame, *, text: str = "text", host: Column | None = None, keep: list[str] | None = None, max_rate: float = MAX_RATE) -> DataFrame:
+    """Measures, base_failed, the host's verdict and kept, for each row of docs, beside the columns in keep.
+
+    For each rule the failures of a host's documents are counted over the whole table and judged by verdicts(). Of a rejected
+    host no document is kept (host_rejected). Of a host that is watched for a rule, documents that break this rule are not kept
+    (host_watched). host defaults to the column source. Documents without a host (null) are in no host's
+    counts and are judged by base_failed alone; their host_rate is null. Null and empty texts have zeros and fail the base rule. Repeated
+    rows count each time; hosts with the same rates get the same verdict, and rates that vary no more than chance make no host
+    stand out. Columns are told apart by place and may have any names; a kept column named as a result, in whatever
+    case, gives way to it. An empty table gives no rows.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "host-rules")
+    made = {*MEASURES, "base_failed", "host_rejected", "host_watched", "host_rate", "kept"}
+    keep = [k for k in (keep if keep is not None else docs.columns) if k.lower() not in made]
+    at = [f"c{i}" for i in range(len(keep))]
+    named = docs.select(*(F.col(f"`{k}`").alias(c) for k, c in zip(keep, at, strict=True)), (F.col("source") if host is None else host).alias("host"), F.col(f"`{text}`").alias("text"))
+    rows = measure(named, keep=[*at, "host"]).withColumn("base_failed", base_failed())
+    rows = scratch.save(rows.withColumn("broken", F.array_compact(F.array(*(F.when(c, F.lit(r)) for r, c in rules().items())))), "rows")
+    hosts = scratch.save(rows.where("host is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.array_contains("broken", r).cast("long")).alias(f"k_{r}") for r in rules())), "hosts", small=True)
+    total = hosts.agg(F.sum("n")).first()[0] or 0
+    judged = verdicts(hosts, max_rate=max_rate)
+    hot, cold = judged.where(F.col("n") * HOT > total).drop("n"), judged.where(F.col("n") * HOT <= total).drop("n")
+    hosted = rows.where("host is not null")
+    none = rows.where("host is null").select("*", F.lit(None).cast("double").alias("host_rate"), F.lit(False).alias("host_rejected"), F.array().cast("array<string>").alias("watched"))
+    both = hosted.join(F.broadcast(hot), "host").unionByName(hosted.join(F.broadcast(hot.select("host")), "host", "left_anti").join(cold, "host")).unionByName(none)
+    out = both.withColumn("host_watched", F.arrays_overlap("watched", "broken"))
+    out = out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected") & ~F.col("host_watched"))
+    return out.select(*(F.col(c).alias(k) for k, c in zip(keep, at, strict=True)), *MEASURES, "base_failed", "host_rate", "host_rejected", "host_watched", "kept")

@@ -31,7 +31,7 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = host_rules.judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rejected")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rejected", "host_watched")
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,17 +107,20 @@ f AS (SELECT doc_id, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_t
         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_lines, 0) AS n_lines, coalesce(dup.k, 0) AS n_dup_lines, coalesce(rep.k, 0) AS n_repeat_words
       FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
-u AS (SELECT doc_id, source AS host, unnest(['base', 'symbols', 'dup_lines', 'word_length']) AS rule,
-        unnest([base_failed, 10 * n_symbols > 3 * n_words, 10 * n_dup_lines > 5 * n_lines, word_chars < 2 * n_words OR word_chars > 20 * n_words])::INT AS failed FROM b WHERE source IS NOT NULL),
+u AS (SELECT doc_id, source AS host, unnest(['base', 'symbols', 'dup_lines', 'repeats', 'word_length']) AS rule,
+        unnest([base_failed, 10 * n_symbols > 3 * n_words, 10 * n_dup_lines > 2 * n_lines, 10 * n_repeat_words > 2 * n_words, word_chars < 2 * n_words OR word_chars > 20 * n_words])::INT AS failed FROM b WHERE source IS NOT NULL),
 h AS (SELECT host, rule, count(*) AS n, sum(failed) AS k FROM u GROUP BY ALL),
 m AS (SELECT rule, count(*) AS hosts, sum(n) AS docs, sum(k) / sum(n) AS mean, sum(k * k / n) AS sq, sum(1 / n) AS inv FROM h GROUP BY rule),
 v AS (SELECT *, hosts * (sq - docs * mean * mean) / ((hosts - 1) * docs) AS var FROM m),
 s AS (SELECT rule, mean, CASE WHEN hosts < 2 THEN 2.0 WHEN var - mean * (1 - mean) / hosts * inv <= 0 THEN 1e6
         ELSE least(1e6, greatest(1.0, (mean * (1 - mean) - var) / (var - mean * (1 - mean) / hosts * inv))) END AS strength FROM v),
-rate AS (SELECT host, n, strength, (k + mean * strength) / (n + strength) AS r FROM h JOIN s USING (rule)),
-bad AS (SELECT host, bool_or(r - sqrt(r * (1 - r) / (n + strength + 1)) > 0.5) AS rejected FROM rate GROUP BY host)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(rejected, false) AS kept, coalesce(rejected, false) AS host_rejected
-FROM b LEFT JOIN bad ON host = source
+rate AS (SELECT host, rule, n, mean, strength, (k + mean * strength) / (n + strength) AS r FROM h JOIN s USING (rule)),
+sd AS (SELECT host, rule, mean, r, sqrt(r * (1 - r) / (n + strength + 1)) AS d FROM rate),
+bad AS (SELECT host, bool_or(r - d > 0.5) AS rejected FROM sd GROUP BY host),
+watch AS (SELECT DISTINCT doc_id FROM u JOIN sd USING (host, rule) WHERE failed = 1 AND r - 1.645::DOUBLE * d > mean)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(rejected, false) AS host_rejected, watch.doc_id IS NOT NULL AS host_watched,
+  NOT base_failed AND NOT coalesce(rejected, false) AND watch.doc_id IS NULL AS kept
+FROM b LEFT JOIN bad ON host = source LEFT JOIN watch USING (doc_id)
     """,
     "op10_lm_scoring": r"""
 WITH tab AS (SELECT list_transform(range(256), lambda v: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, v)) AS t),
