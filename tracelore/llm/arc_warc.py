@@ -57,23 +57,29 @@ def arc_opening(version: int, name: str, date: str) -> bytes:
     return arc_line(version, {"url": f"filedesc://{name}", "ip": "0.0.0.0", "date": date, "content-type": "text/plain", "result-code": "200", "filename": name, "offset": "0", "length": str(len(body))}) + body + b"\n"
 
 
-def read_arc(file: BinaryIO) -> Iterator[ArcRecord]:
-    """Records of an ARC file (decompressed) with the offset of their header line; the version block is not among them.
+def read_arc(file: BinaryIO, opening: bool = False) -> Iterator[ArcRecord]:
+    """Records of an ARC file (decompressed) with the offset of their header line; the version block is the first of them if `opening`.
 
     The version in the block says which fields a line has. A URL may hold spaces in old files: fields are counted from the end.
-    The declared length, not a separator, ends a record.
+    The declared length, not a separator, ends a record. An empty file has no records.
     """
     first = file.readline()
     if not first:
         return
     if not first.startswith(b"filedesc://"):
         raise BadArchive("no filedesc:// line")
-    block = file.read(int(first.split()[-1]))
+    said = first.decode("utf-8", "surrogateescape").split()
+    if not said[-1].isdigit():
+        raise BadArchive("the filedesc:// line declares no length")
+    block = file.read(int(said[-1]))
     try:
         version = int(block.split(None, 1)[0])
         fields = FIELDS[version]
     except (ValueError, IndexError, KeyError) as e:
         raise BadArchive(f"unknown version in {block[:40]!r}") from e
+    if opening:
+        # a filedesc line has the date third in either version
+        yield ArcRecord(0, {"url": said[0], "date": said[2] if len(said) > 2 else ""}, block)
     while True:
         offset = file.tell()
         line = file.readline()
@@ -120,25 +126,45 @@ def record_id(name: str, offset: int, header: dict[str, str]) -> str:
     return f"<urn:uuid:{uuid.uuid5(_IDS, f'{name}|{offset}|{header['url']}|{header['date']}')}>"
 
 
+def kind_of(arc: ArcRecord) -> str:
+    """The WARC type of an ARC record: response with an HTTP head, metadata by its scheme, and resource for what was stored as it is (dns among it)."""
+    if split_http(arc.body)[0]:
+        return "response"
+    return "metadata" if arc.header["url"].partition(":")[0].lower() == "metadata" else "resource"
+
+
+def warc_bytes(fields: list[tuple[str, str]], block: bytes) -> bytes:
+    """A record of header fields and a block; its length and the block's digest are added."""
+    fields = [*fields, ("WARC-Block-Digest", f"sha256:{hashlib.sha256(block).hexdigest()}"), ("Content-Length", str(len(block)))]
+    return b"\r\n".join([WARC_VERSION, *(f"{k}: {v}".encode("utf-8", "surrogateescape") for k, v in fields), b"", block, b"", b""])
+
+
+def warc_info(name: str, opening: ArcRecord) -> bytes:
+    """The warcinfo record that an ARC file's version block becomes; what the block says is kept."""
+    said = opening.body.decode("utf-8", "replace").split("\n", 1)[0]
+    block = f"software: tracelore\r\nformat: WARC File Format 1.1\r\nconverted-from: {name}\r\narc-version-block: {said}\r\n".encode()
+    return warc_bytes([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(name, 0, opening.header)), ("WARC-Date", warc_date(opening.header["date"])), ("WARC-Filename", name.removesuffix(".arc.gz") + ".warc.gz"), ("Content-Type", "application/warc-fields")], block)
+
+
 def warc_record(name: str, arc: ArcRecord, refers_to: tuple[str, str, str] | None) -> bytes:
-    """The WARC record of an ARC record: response, or revisit of refers_to (identifier, URL, date), which keeps the HTTP head only."""
+    """The WARC record of an ARC record, of kind_of() it, or a revisit of refers_to (identifier, URL, date), which keeps the HTTP head only.
+
+    A body without an HTTP head stays as it is, under the content type that the header line declares.
+    """
     head, payload = split_http(arc.body)
-    head = head or f"HTTP/1.0 200 OK\r\nContent-Type: {arc.header['content-type']}\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = head if refers_to else head + payload
+    kind = "revisit" if refers_to else kind_of(arc)
     fields = [
-        ("WARC-Type", "revisit" if refers_to else "response"),
+        ("WARC-Type", kind),
         ("WARC-Record-ID", record_id(name, arc.offset, arc.header)),
         ("WARC-Date", warc_date(arc.header["date"])),
         ("WARC-Target-URI", arc.header["url"]),
         ("WARC-IP-Address", arc.header["ip"]),
         ("WARC-Payload-Digest", f"sha256:{hashlib.sha256(payload).hexdigest()}"),
-        ("WARC-Block-Digest", f"sha256:{hashlib.sha256(block).hexdigest()}"),
-        ("Content-Type", "application/http; msgtype=response"),
+        ("Content-Type", "application/http; msgtype=response" if head else arc.header["content-type"]),
     ]
     if refers_to:
         fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", refers_to[0]), ("WARC-Refers-To-Target-URI", refers_to[1]), ("WARC-Refers-To-Date", refers_to[2])]
-    fields.append(("Content-Length", str(len(block))))
-    return b"\r\n".join([WARC_VERSION, *(f"{k}: {v}".encode("utf-8", "surrogateescape") for k, v in fields), b"", block, b"", b""])
+    return warc_bytes(fields, head if refers_to else arc.body)
 
 
 def read_warc(file: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -197,7 +223,8 @@ ARCHIVES = "archive string, records long, bytes long"
 def write_arcs(pages: DataFrame, folder: str, *, key: str = "page_id", url: str = "url", payload: str = "html", limit: int = ARCHIVE_BYTES, date: str = "20240101000000") -> DataFrame:
     """ARC files of the rows' payloads in UTF-8 (null: empty), gzip by record, about `limit` bytes each: archive, records, bytes.
 
-    Files alternate between the two versions of the format. The key is kept in the HTTP header X-Record-Key (no such header
+    Keys are whole numbers; other columns are not read, so their names clash with nothing; repeated rows are records of their own; a payload longer than
+    `limit` makes its archive longer; an empty table makes no file. Files alternate between the two versions of the format. The key is kept in the HTTP header X-Record-Key (no such header
     for a null key), a null URL becomes urn:key:<key>. Nothing is written before the result is evaluated, once.
     """
     small_batches(pages.sparkSession)
@@ -230,10 +257,10 @@ def write_arcs(pages: DataFrame, folder: str, *, key: str = "page_id", url: str
         close()
         yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["archive", "records", "bytes"])
 
-    return pages.select(F.col(key).cast("long"), F.col(url).cast("string"), F.col(payload).cast("string")).mapInArrow(run, ARCHIVES)
+    return pages.select(*(F.col(f"`{c}`").cast(k).alias(f"c{i}") for i, (c, k) in enumerate(((key, "long"), (url, "string"), (payload, "string"))))).mapInArrow(run, ARCHIVES)
 
 
-INDEX = "archive string, offset long, key long, record_id string, url string, date string, payload_bytes long, payload_digest string"
+INDEX = "archive string, offset long, key long, kind string, record_id string, url string, date string, payload_bytes long, payload_digest string"
 
 
 def index_arcs(archives: DataFrame) -> DataFrame:
@@ -247,8 +274,8 @@ def index_arcs(archives: DataFrame) -> DataFrame:
                     for r in read_arc(file):
                         head, payload = split_http(r.body)
                         k = http_field(head, b"X-Record-Key")
-                        rows.append((path, r.offset, None if k is None else int(k), record_id(path.rpartition("/")[2], r.offset, r.header), r.header["url"], warc_date(r.header["date"]), len(payload), hashlib.sha256(payload).hexdigest()))
-                kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string())
+                        rows.append((path, r.offset, None if k is None else int(k), kind_of(r), record_id(path.rpartition("/")[2], r.offset, r.header), r.header["url"], warc_date(r.header["date"]), len(payload), hashlib.sha256(payload).hexdigest()))
+                kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], kind) for i, kind in enumerate(kinds)], names=[f.split()[0] for f in INDEX.split(", ")])
 
     return archives.select("archive").mapInArrow(run, INDEX)
@@ -258,13 +285,19 @@ def with_originals(index: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     """Adds original (key, record_id, url, date) to records that revisit another: one with an equal payload of at
     least `least` bytes and a smaller key, the smallest of all. Records with a null key revisit but are not revisited."""
     firsts = index.where((F.col("payload_bytes") >= least) & F.col("key").isNotNull()).groupBy("payload_digest").agg(F.min(F.struct("key", "archive", "offset", "record_id", "url", "date")).alias("original"), F.count(F.lit(1)).alias("n"))
-    again = F.col("original").isNotNull() & (F.col("payload_bytes") >= least) & ~((F.col("original.archive") == F.col("archive")) & (F.col("original.offset") == F.col("offset")))
+    again = F.col("original").isNotNull() & (F.col("kind") == "response") & (F.col("payload_bytes") >= least) & ~((F.col("original.archive") == F.col("archive")) & (F.col("original.offset") == F.col("offset")))
     out = index.join(firsts.select("payload_digest", "original"), "payload_digest", "left")
     return out.withColumn("original", F.when(again, F.struct("original.key", "original.record_id", "original.url", "original.date")))
 
 
+def tasks_for(archives: int, spark) -> int:
+    """Partitions for so many archives: one each, up to 16 for each core; beyond, a task works through several."""
+    return max(1, min(archives, 16 * spark.sparkContext.defaultParallelism))
+
+
 def convert(index: DataFrame, folder: str) -> DataFrame:
-    """A WARC file, gzip by record, for each ARC file of an index with originals: archive, records, bytes."""
+    """A WARC file, gzip by record, for each ARC file of an index with originals: archive, records, bytes. It begins with a warcinfo record,
+    which `records` does not count. An empty index gives no files."""
     store, at = opened(folder)
     store.create_dir(at, recursive=True)
 
@@ -275,22 +308,26 @@ def convert(index: DataFrame, folder: str) -> DataFrame:
         own = f"{folder}/{name.removesuffix(".arc.gz")}.warc.gz"
         out, n = io.BytesIO(), 0
         with reading(path) as file:
-            for r in read_arc(file):
+            records = read_arc(file, opening=True)
+            out.write(gzip.compress(warc_info(name, next(records)), 1, mtime=0))
+            for r in records:
                 o = known[r.offset]
                 out.write(gzip.compress(warc_record(name, r, (o["record_id"], o["url"], o["date"]) if o else None), 1, mtime=0))
                 n += 1
         publish(own, out.getbuffer())
         return pa.table([pa.array([own]), pa.array([n]), pa.array([out.tell()])], names=["archive", "records", "bytes"])
 
-    return index.select("archive", "offset", "original").groupBy("archive").applyInArrow(run, ARCHIVES)
+    # an index is small beside its archives: a number of partitions is set, or adaptive execution would give all archives to one task
+    n = 2 * tasks_for(index.select("archive").distinct().count(), index.sparkSession)
+    return index.select("archive", "offset", "original").repartition(n, "archive").groupBy("archive").applyInArrow(run, ARCHIVES)
 
 
 READ = T.StructType([T.StructField(n, k) for n, k in (("key", T.LongType()), ("record_id", T.StringType()), ("record_type", T.StringType()), ("refers_to_id", T.StringType()), ("url", T.StringType()), ("date", T.StringType()), ("payload_bytes", T.LongType()), ("payload_digest", T.StringType()), ("archive", T.StringType()))])
 
 
 def read_warcs(archives: DataFrame) -> DataFrame:
-    """Records of WARC files. Block digests are checked, and payload digests of responses (BadArchive); a revisit has the size
-    that its kept HTTP head declares."""
+    """Records of WARC files but their warcinfo. Block digests are checked, and payload digests of all but revisits (BadArchive); a revisit has the size
+    that its kept HTTP head declares. Records without the key's header have a null key."""
 
     def run(batches):
         for batch in batches:
@@ -298,12 +335,17 @@ def read_warcs(archives: DataFrame) -> DataFrame:
                 rows = []
                 with reading(path) as file:
                     for fields, block in read_warc(file):
-                        head, payload = split_http(block)
-                        kind, digest = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha256:")
-                        if hashlib.sha256(block).hexdigest() != fields["warc-block-digest"].removeprefix("sha256:") or kind == "response" and hashlib.sha256(payload).hexdigest() != digest:
+                        kind = fields["warc-type"]
+                        if hashlib.sha256(block).hexdigest() != fields["warc-block-digest"].removeprefix("sha256:"):
                             raise BadArchive(f"{fields['warc-record-id']} in {path} has another digest")
+                        if kind == "warcinfo":
+                            continue
+                        head, payload = split_http(block) if kind in ("response", "revisit") else (b"", block)
+                        digest = fields["warc-payload-digest"].removeprefix("sha256:")
+                        if kind != "revisit" and hashlib.sha256(payload).hexdigest() != digest:
+                            raise BadArchive(f"{fields['warc-record-id']} in {path} has another payload digest")
                         k = http_field(head, b"X-Record-Key")
-                        size = len(payload) if kind == "response" else int(http_field(head, b"Content-Length") or 0)
+                        size = int(http_field(head, b"Content-Length") or 0) if kind == "revisit" else len(payload)
                         rows.append((None if k is None else int(k), fields["warc-record-id"], kind, fields.get("warc-refers-to"), fields["warc-target-uri"], fields["warc-date"], size, digest, path))
                 kinds = [pa.int64() if isinstance(f.dataType, T.LongType) else pa.string() for f in READ]
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], kind) for i, kind in enumerate(kinds)], names=READ.names)
@@ -312,9 +354,9 @@ def read_warcs(archives: DataFrame) -> DataFrame:
 
 
 def spread(archives: DataFrame) -> DataFrame:
-    """One archive a task; names only, bounded by the number of archives."""
+    """One archive a task, or several where there are very many; names only, bounded by the number of archives."""
     n = archives.count()
-    return archives.repartition(max(1, n)) if n > 1 else archives
+    return archives.repartition(tasks_for(n, archives.sparkSession)) if n > 1 else archives
 
 
 def archive(pages: DataFrame, *, key: str = "page_id", url: str = "url", payload: str = "html", folder: str | None = None, limit: int = ARCHIVE_BYTES) -> tuple[DataFrame, DataFrame]:
