@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +61,44 @@ def test_lost_writer_leaves_no_trace(spark, store):
     assert ids(store.read()) == list(range(10))
 
 
+def test_vacuum_takes_orphans_after_their_grace(spark, store):
+    store.append(rows(spark, 0, 10))
+    lost = store._write(rows(spark, 10, 20))
+    assert store.vacuum() == 0 and store._listed(lost[0].path.rpartition("/")[0])
+    time.sleep(1.1)
+    assert store.vacuum(grace_s=1.0) == len(lost)
+    assert not store._listed(lost[0].path.rpartition("/")[0]) and ids(store.read()) == list(range(10))
+    with pytest.raises(ValueError):
+        store.vacuum(keep=0)
+
+
+def test_loser_of_a_race_cleans_up(spark, store, monkeypatch):
+    store.append(rows(spark, 0, 10))
+    before = len(store._listed("shards"))
+    old = store.manifest()
+    store.append(rows(spark, 10, 20))
+    monkeypatch.setattr(store, "manifest", lambda version=None: old)
+    with pytest.raises(Conflict):
+        store.append(rows(spark, 20, 30))
+    assert len(store._listed("shards")) == before + 1
+
+
+def test_a_tier_that_stays_does_not_hold_up_the_next(spark, store, monkeypatch):
+    for i in range(3):
+        store.append(rows(spark, i * 10, i * 10 + 10).coalesce(1))
+    for i in range(3):
+        store.append(rows(spark, 1000 + i * 1000, 2000 + i * 1000).coalesce(1).limit(200))
+    merge, asked = store._merge, []
+
+    def once(runs, now):
+        asked.append(min(s.tier for s in runs))
+        return store._write(store._read(runs, now).repartition(len(runs)), 0) if len(asked) == 1 else merge(runs, now)
+
+    monkeypatch.setattr(store, "_merge", once)
+    after = store.compact()
+    assert len(asked) >= 2 and len(after.shards) < 6 and store.read().count() == 630
+
+
 def test_columns_nulls_empty_and_repeats(spark, store):
     assert store.manifest().version == 0
     empty = store.append(rows(spark, 0, 0))

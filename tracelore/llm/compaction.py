@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
@@ -45,8 +46,9 @@ class ShardStore:
     """Immutable Parquet shards under a folder, named by manifests of which version N is the file manifest/N.
 
     A manifest is written whole under a name of its own and renamed to its number; the rename fails if that number
-    exists, so a version has one author and a reader sees all of a version or nothing of it. Shards that no manifest names are
-    invisible; a job that dies leaves only such shards.
+    exists, so a version has one author and a reader sees all of a version or nothing of it. The store must be able to refuse that
+    rename in one step, as HDFS does; on a local file system a hard link does it; plain object stores can't. Shards that no manifest names are
+    invisible; a job that dies leaves only such shards, and vacuum() finds them.
     """
 
     def __init__(self, spark: SparkSession, path: str, *, target: int = TARGET, smallest: int = SMALLEST, fan_in: int = FAN_IN, arrival_rows: int = ARRIVAL_ROWS):
@@ -83,11 +85,16 @@ class ShardStore:
         stream = self._fs.create(own, True)
         stream.write(new.text().encode())
         stream.close()
-        jvm = self.spark._jvm
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(own.toUri() if own.isAbsolute() and own.toUri().getScheme() else self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
-        options = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        jvm, target = self.spark._jvm, self._at(f"manifest/{new.version:010d}")
         try:
-            context.rename(own, self._at(f"manifest/{new.version:010d}"), options)
+            if self._fs.getUri().getScheme() == "file":
+                # a local rename looks first and moves then; a hard link fails if the name is taken, in one step
+                paths = [jvm.java.nio.file.Paths.get(p.toUri().getPath(), self.spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0)) for p in (target, own)]
+                jvm.java.nio.file.Files.createLink(*paths)
+                self._fs.delete(own, False)
+            else:
+                context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+                context.rename(own, target, self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
         except Exception as e:
             self._fs.delete(own, False)
             if "FileAlreadyExists" in str(e):
@@ -119,21 +126,29 @@ class ShardStore:
                 if f.name in old and old[f.name].dataType != f.dataType:
                     raise ValueError(f"column {f.name} is {old[f.name].dataType.simpleString()}, not {f.dataType.simpleString()}")
             schema = T.StructType([*old.values(), *(f for f in schema if f.name not in old)])
-        return self.commit(Manifest(now.version + 1, now.shards + self._write(df, self.arrival_rows), json.dumps(schema.jsonValue())))
+        new = self._write(df, self.arrival_rows)
+        try:
+            return self.commit(Manifest(now.version + 1, now.shards + new, json.dumps(schema.jsonValue())))
+        except Conflict:
+            self._discard(new)
+            raise
 
     def compact(self) -> Manifest:
-        """Merge tiers with at least fan_in runs below the target into files of about the target size; one new version, or none.
+        """Merge tiers with at least fan_in runs below the target into files of about the target size; one new version a merge, or none.
 
-        Tiers are taken from below; what a merge makes may fill the next tier, so this repeats until no tier is full. A merge is a scan
-        that packs whole small files into partitions of the target size and writes each as one shard: no shuffle.
+        Tiers are taken from below; what a merge makes may fill the next tier, so this repeats until no tier is full. A tier that can't be packed
+        closer, for instance as the scan's own limit is smaller, is left as it is and the next ones have their turn. A merge is a scan
+        that packs whole small files into partitions of the target size and writes each as one shard: no shuffle. If another writer
+        commits first (Conflict), the merged shards are deleted.
         """
+        tight: set[frozenset[str]] = set()  # runs that could not be packed closer
         while True:
             now = self.manifest()
             tiers: dict[int, list[Shard]] = {}
             for s in now.shards:
                 if 2 * s.size < self.target:
                     tiers.setdefault(s.tier, []).append(s)
-            full = next((t for t in sorted(tiers) if len(tiers[t]) >= self.fan_in), None)
+            full = next((t for t in sorted(tiers) if len(tiers[t]) >= self.fan_in and frozenset(s.path for s in tiers[t]) not in tight), None)
             if full is None:
                 return now
             runs = tiers[full]
@@ -143,12 +158,21 @@ class ShardStore:
                     break
                 runs = runs + tiers[t]
             merged = self._merge(runs, now)
-            if len(merged) >= len(runs):  # nothing can be packed closer, for instance as the scan's own limit is smaller
-                for s in merged:
-                    self._fs.delete(self._at(s.path), False)
-                return now
+            if len(merged) >= len(runs):
+                self._discard(merged)
+                tight.add(frozenset(s.path for s in tiers[full]))
+                continue
             gone = {s.path for s in runs}
-            self.commit(Manifest(now.version + 1, tuple(s for s in now.shards if s.path not in gone) + merged, now.schema))
+            try:
+                self.commit(Manifest(now.version + 1, tuple(s for s in now.shards if s.path not in gone) + merged, now.schema))
+            except Conflict:
+                self._discard(merged)
+                raise
+
+    def _discard(self, shards: tuple[Shard, ...]) -> None:
+        """Delete the folders of shards that were never named by a manifest."""
+        for folder in {s.path.rpartition("/")[0] for s in shards}:
+            self._fs.delete(self._at(folder), True)
 
     def _merge(self, runs: list[Shard], now: Manifest) -> tuple[Shard, ...]:
         conf = {"spark.sql.files.maxPartitionBytes": str(self.target), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": str(max(1, round(sum(s.size for s in runs) / self.target)))}
@@ -180,8 +204,14 @@ class ShardStore:
             return rows.withColumns({"shard": F.lit(None).cast("string"), "shard_bytes": F.lit(None).cast("long"), "manifest_version": F.lit(now.version)})
         return rows.select("*", F.regexp_extract("_metadata.file_path", r"(shards/[^/]+/[^/]+)$", 1).alias("shard"), F.col("_metadata.file_size").alias("shard_bytes"), F.lit(now.version).alias("manifest_version"))
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Delete shards that none of the last `keep` versions names, and older manifests; returns how many shards went."""
+    def vacuum(self, keep: int = 1, grace_s: float = 86_400.0) -> int:
+        """Delete shards that none of the last `keep` (at least 1) versions names, and older manifests; returns how many shards went.
+
+        Those that older versions named go at once. Folders that no manifest names are of jobs that died, or still run: they go once nothing in
+        them, nor a manifest's own unfinished file, was changed for grace_s seconds.
+        """
+        if keep < 1:
+            raise ValueError("at least one version is kept")
         every = self.versions()
         live = {s.path for v in every[-keep:] for s in self.manifest(v).shards}
         dead = {s.path for v in every[:-keep] for s in self.manifest(v).shards} - live
@@ -189,4 +219,19 @@ class ShardStore:
             self._fs.delete(self._at(path), False)
         for v in every[:-keep]:
             self._fs.delete(self._at(f"manifest/{v:010d}"), False)
-        return len(dead)
+        known = {p.rpartition("/")[0] for p in live}
+        before = (time.time() - grace_s) * 1000
+        gone = len(dead)
+        for s in self._listed("shards"):
+            folder = f"shards/{s.getPath().getName()}"
+            files = self._listed(folder)
+            if folder not in known and all(f.getModificationTime() < before for f in [s, *files]):
+                gone += sum(f.getPath().getName().startswith("part-") for f in files)
+                self._fs.delete(self._at(folder), True)
+        for s in self._listed("manifest"):
+            if s.getPath().getName().startswith(".") and s.getModificationTime() < before:
+                self._fs.delete(s.getPath(), False)
+        return gone
+
+    def _listed(self, folder: str) -> list:
+        return list(self._fs.listStatus(self._at(folder))) if self._fs.exists(self._at(folder)) else []
