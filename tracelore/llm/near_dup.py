@@ -176,13 +176,16 @@ def classes(docs: DataFrame, *, n: int = 5, pct: int = 80, text: str = "text", k
     says why no link is lost), again first with the smallest of such a group. Pairs are confirmed on full sets, so no
     false link is kept; a link at the threshold is missed with a probability below 1e-7. There is no cap on buckets or partners.
 
-    Null and empty texts have no shingles and are linked with nothing. Keys should be unique; rows that repeat a key are
+    Null and empty texts have no shingles and are linked with nothing. Keys are whole numbers (ValueError) and should be unique; rows that repeat a key are
     each returned. A null key takes part under no representative: it gets its class's component, or null if all keys of
     the class are null, and is kept only then. Other columns of docs are not read. An empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dup")
-    rows = scratch.save(sketch(docs, n=n, pct=pct, text=text, keep=[key]).withColumnRenamed(key, "id"), "rows")
+    if not isinstance(docs.schema[key].dataType, T.IntegralType):
+        raise ValueError(f"{key} is no whole number")
+    docs = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    rows = scratch.save(sketch(docs, n=n, pct=pct, keep=["id"]), "rows")
     filled = rows.where("set_key is not null")
     reps = scratch.save(filled.where("id is not null").groupBy("set_key").agg(F.min(F.struct("id", "n_shingles", "bands")).alias("r")).select("set_key", "r.*"), "reps", small=True)
     members = reps.select(F.explode("bands").alias("bucket"), "id", F.col("n_shingles").alias("size"))
@@ -191,8 +194,8 @@ def classes(docs: DataFrame, *, n: int = 5, pct: int = 80, text: str = "text", k
     near = [F.col("size_a") * 100 >= F.col("size_b") * pct, F.col("size_b") * 100 >= F.col("size_a") * pct]
 
     meant = buckets.select(F.col("id")).distinct()
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("__t")).join(meant, "id", "left_semi")
-    sets = scratch.save(full_sets(texts.dropDuplicates(["id"]), n=n, text="__t", key="id"), "sets", small=True)
+    texts = docs.join(meant, "id", "left_semi")
+    sets = scratch.save(full_sets(texts.dropDuplicates(["id"]), n=n, text="text", key="id"), "sets", small=True)
 
     hubs = buckets.where("id = hub").select(F.col("hub").alias("a"), "bucket", F.col("size").alias("size_a"))
     stars = buckets.where("id <> hub").select(F.col("id").alias("b"), "bucket", F.col("size").alias("size_b")).join(hubs, "bucket").where(near[0] & near[1]).select("a", "b").distinct()
@@ -243,9 +246,13 @@ def classes(docs: DataFrame, *, n: int = 5, pct: int = 80, text: str = "text", k
 
 
 def deduplicate(docs: DataFrame, *, n: int = 5, pct: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Rows of docs that are kept by classes(): one document of each group, with the columns of docs.
+    """Rows of docs that are kept by classes(): one document of each group, with the columns of docs, whatever their names.
 
-    Keys should be unique: rows that repeat a kept key all stay, as they can't be told apart. Rows with a null key all stay.
+    Keys should be unique: rows that repeat a kept key all stay, as they can't be told apart. Rows with a null key all stay, as do those
+    with null or empty texts; an empty table stays empty.
     """
-    gone = classes(docs, n=n, pct=pct, text=text, key=key).where(~F.col("kept") & F.col(key).isNotNull()).select(F.col(key).alias("__gone")).distinct()
-    return docs.join(gone, docs[key] == F.col("__gone"), "left_anti")
+    columns = docs.columns
+    renamed = docs.toDF(*(f"c{i}" for i in range(len(columns))))
+    at = f"c{columns.index(key)}"
+    gone = classes(docs, n=n, pct=pct, text=text, key=key).where(~F.col("kept") & F.col(key).isNotNull()).select(F.col(key).alias("gone")).distinct()
+    return renamed.join(gone, F.col(at) == F.col("gone"), "left_anti").toDF(*columns)
