@@ -111,6 +111,68 @@ def test_sanitised_text(spark):
     assert by[202] == "call [PHONE] or [IP]" and by[200] is None and by[201] == "" and by[None] == "[EMAIL]"
 
 
+def brute_terms(texts, support=sn.SUPPORT, disclosure=sn.DISCLOSURE):
+    """Spans of each text with counts in plain dictionaries; documents are numbered, repeated ones count each."""
+    from math import log2, sqrt
+
+    trim = ".,;:!?()[]{}\"'"
+    lower = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
+    base = [brute(t) for t in texts]
+    value = lambda k, v: (k, v.lower() if k == 0 else v if k == 1 else re.sub("[^0-9]", "", v))
+    who = [{value(k, t[a:b]) for a, k, b in s} for t, s in zip(texts, base)]
+    df, of_entity = {}, {}
+    for d, t in enumerate(texts):
+        for w in {w.strip(trim) for w in re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower))}:
+            df[w] = df.get(w, 0) + 1
+        for e in who[d]:
+            of_entity.setdefault(e, set()).add(d)
+    terms = []
+    for t, s in zip(texts, base):
+        found = [(m.start() + m.group().index(core), core) for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "") if len(core := m.group().strip(trim)) >= 3 and not any(a < m.end() and m.start() < b for a, _, b in s)]
+        terms.append([(at, at + len(core), core.translate(lower)) for at, core in found] if s else [])
+    having = {}
+    for d, x in enumerate(terms):
+        for w in {w for _, _, w in x}:
+            having.setdefault(w, set()).add(d)
+    n, out = len(texts), []
+    for d, (s, x) in enumerate(zip(base, terms)):
+        shown = set()
+        for w in {w for _, _, w in x}:
+            for e in who[d]:
+                c, c_e = len(of_entity[e] & having[w]), len(of_entity[e])
+                m, z = max(df[w], c), sn.DOUBT
+                p = c / m if c >= support else (c / m + z * z / (2 * m) - z * sqrt(c / m * (1 - c / m) / m + z * z / (4 * m * m))) / (1 + z * z / m)
+                if c_e < n and log2(n * p / c_e) / log2(n / c_e) >= disclosure:
+                    shown.add(w)
+        out.append(sorted([*s, *((a, 4, b) for a, b, w in x if w in shown)]))
+    return out
+
+
+def test_all_spans_against_plain_counts(spark):
+    """The whole of a table, texts whole: the operator's spans are those that plain counting gives."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(frame(spark).selectExpr("coalesce(doc_id, 0) + 1000000 as doc_id", "text")).unionByName(docs.where("doc_id % 9 = 0").selectExpr("doc_id + 2000000 as doc_id", "text"))
+    rows = sorted(map(tuple, docs.collect()), key=lambda r: r[0])
+    got = {}
+    for r in sn.detect(docs).collect():
+        got.setdefault(r["doc_id"], []).append([(s["start"], s["kind"], s["end"]) for s in r["all_spans"]])
+    want = {}
+    for (i, _), s in zip(rows, brute_terms([t for _, t in rows])):
+        want.setdefault(i, []).append(s)
+    assert {i: sorted(x) for i, x in got.items()} == {i: sorted(x) for i, x in want.items()}
+    assert sum(k == 4 for x in want.values() for s in x for _, k, _ in s) > 50
+
+
+def test_very_many_entities_and_columns_of_any_name(spark):
+    text = " ".join(f"user{i}@mail{i}.example.org said word{i % 7}" for i in range(60_000))
+    docs = spark.createDataFrame([(1, text, 1, 2, 3, 4), (2, "calm words", 1, 2, 3, 4)], "doc_id long, text string, __k int, Base int, uid int, WHO int")
+    out = sn.sanitise(docs)
+    assert out.columns == docs.columns
+    by = {r["doc_id"]: r for r in out.collect()}
+    assert by[1]["text"].count("[EMAIL]") == 60_000 and by[2]["text"] == "calm words" and by[1]["WHO"] == 4
+    assert sn.detect(docs).where("size(base) = 60000").count() == 1
+
+
 def test_redact_overlaps():
     s = lambda a, k, b: {"start": a, "kind": k, "end": b}
     assert sn.redact("0123456789", [s(2, 1, 6), s(4, 2, 8), s(9, 4, 10)]) == "01[IP]8[NUMBER]"

@@ -185,10 +185,12 @@ def estimated(c: Column, df: Column, support: int) -> Column:
 def pairs(rows: DataFrame, docs: DataFrame, scratch: Scratch, *, text: str, disclosure: float) -> DataFrame:
     """(uid, e, t, c_e, df, n): each entity with each term of the same document, less the pairs that cannot reach `disclosure`.
 
+    rows: found() of the documents with personal data at least, and uid; docs: all documents, of which n counts the rows.
+
     Entities of exactly the same documents have the same figures, so one of them stands for all. As c(e, t) is c(e) at
     most, a term's own frequency shows which pairs cannot: those are never made.
     """
-    n = float(rows.count())
+    n = float(docs.count())
     known = rows.where(F.size("base") > 0)
     member = known.select("uid", F.explode("who").alias("e"))
     where = member.groupBy("e").agg(F.count(F.lit(1)).alias("c_e"), F.min("uid").alias("lo"), F.max("uid").alias("hi"), F.bit_xor(F.xxhash64("uid")).alias("x"))
@@ -232,23 +234,29 @@ def marked(rows: DataFrame) -> DataFrame:
     return rows.select("uid", "body", "base", "marks").mapInArrow(run, T.StructType([T.StructField("uid", T.LongType()), T.StructField("extra", SPAN)]))
 
 
+def term_spans(rows: DataFrame, docs: DataFrame, scratch: Scratch, *, text: str, support: int, disclosure: float) -> DataFrame:
+    """(uid, extra): the revealing terms' places in the documents of rows that have any; rows and docs as in pairs()."""
+    near = pairs(rows, docs, scratch, text=text, disclosure=disclosure)
+    shown = scratch.save(disclosing(near, support=support, disclosure=disclosure).select("e", "t"), "revealing", small=True)
+    marks = near.join(shown, ["e", "t"]).groupBy("uid").agg(F.collect_set("t").alias("marks"))
+    return marked(rows.where(F.size("base") > 0).join(marks, "uid"))
+
+
 def detect(docs: DataFrame, *, text: str = "text", key: str = "doc_id", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """key, base and all_spans (arrays of start, kind, end in code points, by start and then kind) for each row of docs.
 
     base holds emails, ip addresses, cards and phones by form; all_spans also holds, at every place in the document, the terms
     that give away at least the share `disclosure` of one of its entities' information by co-occurrence in documents of the whole
     corpus. Null and empty texts have empty arrays. Rows may repeat, and each is counted and returned; null keys pass
-    through; other columns are not read; an empty table gives no rows.
+    through; other columns are not read, so their names clash with nothing; of terms that reveal alike all are spans; an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "sanitise")
-    rows = scratch.save(found(docs, text=text, keep=[key]).withColumn("uid", F.monotonically_increasing_id()), "rows")
-    near = pairs(rows, docs, scratch, text=text, disclosure=disclosure)
-    shown = scratch.save(disclosing(near, support=support, disclosure=disclosure).select("e", "t"), "revealing", small=True)
-    marks = near.join(shown, ["e", "t"]).groupBy("uid").agg(F.collect_set("t").alias("marks"))
-    extra = marked(rows.where(F.size("base") > 0).join(marks, "uid"))
-    out = gathered(rows.select(key, "base", "uid").join(extra, "uid", "left"))
+    read = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("x"))
+    rows = scratch.save(found(read, text="x", keep=["k"]).withColumn("uid", F.monotonically_increasing_id()), "rows")
+    extra = term_spans(rows, read, scratch, text="x", support=support, disclosure=disclosure)
+    out = gathered(rows.select("k", "base", "uid").join(extra, "uid", "left"))
     none = F.array().cast(SPAN)
-    return out.select(key, "base", F.array_sort(F.concat("base", F.coalesce("extra", none))).alias("all_spans"))
+    return out.select(F.col("k").alias(key), "base", F.array_sort(F.concat("base", F.coalesce("extra", none))).alias("all_spans"))
 
 
 def named(spans: str) -> Column:
@@ -279,25 +287,26 @@ def redact(text: str | None, spans: Sequence[dict]) -> str | None:
     return "".join([*out, text[done:]])
 
 
-def sanitise(docs: DataFrame, *, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """docs with personal data and revealing terms in text replaced by what kind of thing they are; all columns stay.
+def sanitise(docs: DataFrame, *, text: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+    """docs with personal data and revealing terms in text replaced by what kind of thing they are; all columns stay, whatever their names.
 
-    Keys should be unique: of rows that repeat a key, a row is changed by the spans of one of them, and rows with a null key by
-    what their own text shows by form alone. Null and empty texts stay as they are.
+    Spans are those of detect(). Documents without personal data pass through unshuffled. Each row is changed by its own spans, so keys are not needed; repeated rows
+    are changed alike. Null and empty texts stay as they are; an empty table stays empty.
     """
-    small_batches(docs.sparkSession)
-    spans = detect(docs, text=text, key=key, **options).where(F.size("all_spans") > F.size("base"))
-    extra = spans.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.first(F.filter("all_spans", lambda x: x["kind"] == 4)).alias("__x"))
-    both = docs.join(extra, docs[key] == F.col("__k"), "left").drop("__k")
-    at, schema, last = docs.columns.index(text), docs.schema, len(docs.columns)
+    scratch = Scratch(docs.sparkSession, "sanitise")
+    columns = docs.columns
+    renamed = docs.toDF(*(f"c{i}" for i in range(len(columns))))
+    at, last = columns.index(text), len(columns)
+    looked = found(renamed, text=f"c{at}", keep=renamed.columns)
+    rows = scratch.save(looked.where(F.size("base") > 0).withColumn("uid", F.monotonically_increasing_id()), "rows")
+    extra = term_spans(rows, renamed, scratch, text=f"c{at}", support=support, disclosure=disclosure)
+    spans = F.array_sort(F.concat("base", F.coalesce("extra", F.array().cast(SPAN))))
+    both = rows.join(extra, "uid", "left").select(*renamed.columns, spans.alias("spans"))
+    schema = renamed.schema
 
     def run(batches):
         for batch in batches:
-            texts = []
-            for t, x in zip(batch.column(at).to_pylist(), batch.column(last).to_pylist(), strict=True):
-                base = [dict(zip(("start", "kind", "end"), s, strict=True)) for s in base_spans(t)]
-                texts.append(redact(t, [*base, *(s for s in x or () if t and s["end"] <= len(t))]))
-            columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(last)]
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-
-    return both.mapInArrow(run, schema)
+            texts = [redact(t, x) for t, x in zip(batch.column(at).to_pylist(), batch.column(last).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(last)], names=schema.names)
+
+    return looked.where(F.size("base") == 0).select(*renamed.columns).unionByName(both.mapInArrow(run, schema)).toDF(*columns)
