@@ -255,23 +255,26 @@ def split_compound_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return actions.split_compound(atoms).select("step", F.col("at").cast("long").alias("at"), "arg", "said")
 
 
-ARGS = """
-  args AS (SELECT l_orderkey AS tree_id, l_linenumber AS ord, x.place, x.arg, x.sort FROM lineitem,
+#: The pair of order and line number is no key of lineitem, so lines are numbered within their order by all that tells them apart.
+LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_tax", "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate")
+LINES = f"""
+  li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(LINE_ORDER)}) AS node FROM lineitem)"""
+ARGS = LINES + """,
+  args AS (SELECT l_orderkey AS tree_id, node AS ord, x.place, x.arg, x.sort FROM li,
     LATERAL (SELECT unnest([1, 2, 3]) AS place, unnest(['S' || l_suppkey, l_returnflag, 'B' || l_partkey]) AS arg, unnest(['section', 'local', CASE WHEN l_linestatus = 'O' THEN 'global' ELSE 'other' END]) AS sort) x WHERE l_tax > 0.02 OR x.place > 1),
   one AS (SELECT tree_id, ord, arg_min(arg, (CASE sort WHEN 'global' THEN 0 WHEN 'section' THEN 1 WHEN 'local' THEN 2 ELSE 3 END) * 10 + place) AS arg, count(*) = 1 AS exact FROM args GROUP BY ALL)"""
 
 
+def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem with node: the number of each line in its order, from 1."""
+    return ad.table(spark, sf_dir, "lineitem").withColumn("node", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)).cast("long"))
+
+
 def arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(tree_id, ord, place, arg, sort): the names that lines of an order, taken as an action, are given."""
     s = lambda p, a, k: F.struct(F.lit(p).alias("place"), a.alias("arg"), k.alias("sort"))
     each = F.array(s(1, F.concat(F.lit("S"), F.col("l_suppkey").cast("string")), F.lit("section")), s(2, F.col("l_returnflag"), F.lit("local")), s(3, F.concat(F.lit("B"), F.col("l_partkey").cast("string")), F.when(F.col("l_linestatus") == "O", "global").otherwise("other")))
-    lines = ad.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*(F.min_by(c, F.struct("l_partkey", "l_suppkey", "l_tax")).alias(c) for c in ("l_suppkey", "l_returnflag", "l_partkey", "l_linestatus", "l_tax")))
-    return lines.select(F.col("l_orderkey").alias("tree_id"), F.col("l_linenumber").alias("ord"), "l_tax", F.explode(each).alias("x")).where("l_tax > 0.02 or x.place > 1").select("tree_id", "ord", "x.*")
-
-
-LINES = """
-  li AS (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_tax) = 1)"""
-ARGS = LINES + "," + ARGS.replace("FROM lineitem,", "FROM li,")
+    return numbered_lines(spark, sf_dir).select(F.col("l_orderkey").alias("tree_id"), F.col("node").alias("ord"), "l_tax", F.explode(each).alias("x")).where("l_tax > 0.02 or x.place > 1").select("tree_id", "ord", "x.*")
 
 
 @query(f"WITH {ARGS} SELECT tree_id, ord, arg, exact FROM one")
@@ -290,14 +293,13 @@ def round_trip_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 VARS = LINES + """,
-  v AS (SELECT l_orderkey AS tree_id, l_linenumber AS node_id, 'v' || (l_partkey % 5) AS name FROM li),
+  v AS (SELECT l_orderkey AS tree_id, node AS node_id, 'v' || (l_partkey % 5) AS name FROM li),
   b AS (SELECT o_orderkey AS tree_id, 'v' || (o_custkey % 5) AS name, 2 AS first, 4 AS last FROM orders),
   f AS (SELECT * FROM v WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.tree_id = v.tree_id AND b.name = v.name AND v.node_id BETWEEN b.first AND b.last))"""
 
 
 def variables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    lines = ad.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min_by("l_partkey", F.struct("l_partkey", "l_suppkey", "l_tax")).alias("p"))
-    v = lines.select(F.col("l_orderkey").alias("tree_id"), F.col("l_linenumber").alias("node_id"), F.concat(F.lit("v"), (F.col("p") % 5).cast("string")).alias("name"))
+    v = numbered_lines(spark, sf_dir).select(F.col("l_orderkey").alias("tree_id"), F.col("node").alias("node_id"), F.concat(F.lit("v"), (F.col("l_partkey") % 5).cast("string")).alias("name"))
     b = ad.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("tree_id"), F.concat(F.lit("v"), (F.col("o_custkey") % 5).cast("string")).alias("name"), F.lit(2).alias("first"), F.lit(4).alias("last"))
     return v, b
 
@@ -338,12 +340,12 @@ def opaque_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return actions.opaque_constants(nodes, constants)
 
 
-@query(f"""WITH {LINES}, n AS (SELECT l_orderkey AS tree_id, l_linenumber AS node_id, CASE l_returnflag WHEN 'A' THEN 'Var:X' WHEN 'N' THEN 'Const:C' ELSE 'Term:_' END AS s FROM li),
+@query(f"""WITH {LINES}, n AS (SELECT l_orderkey AS tree_id, node AS node_id, CASE l_returnflag WHEN 'A' THEN 'Var:X' WHEN 'N' THEN 'Const:C' ELSE 'Term:_' END AS s FROM li),
   t AS (SELECT tree_id, string_agg(s, ' ' ORDER BY node_id) AS text FROM n GROUP BY tree_id)
   SELECT tree_id, text, CAST('0x' || substr(md5(text), 1, 8) AS BIGINT) AS hash FROM t""")
 def skeleton_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = ad.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min_by("l_returnflag", F.struct("l_partkey", "l_suppkey", "l_tax")).alias("flag"))
-    nodes = lines.select(F.col("l_orderkey").alias("tree_id"), F.col("l_linenumber").alias("node_id"), F.when(F.col("flag") == "A", "Var").when(F.col("flag") == "N", "Const").otherwise("Term").alias("kind"), F.col("flag").alias("symbol"))
+    flag = F.col("l_returnflag")
+    nodes = numbered_lines(spark, sf_dir).select(F.col("l_orderkey").alias("tree_id"), F.col("node").alias("node_id"), F.when(flag == "A", "Var").when(flag == "N", "Const").otherwise("Term").alias("kind"), flag.alias("symbol"))
     return actions.preorder(actions.skeleton(nodes)).withColumn("hash", action_hash(F.col("text")))
 
 
