@@ -135,6 +135,11 @@ def test_deepening_and_cheapest(spark):
     assert budget == 9 and found.count() == 1
     only = spark.createDataFrame([("s", 0, -1.0, "end")], "state string, rank int, confidence double, next string")
     assert search.iterative(lambda b: search.diagonal(spark, only, starts, budget=b), lambda r: r.where("false"), start=2)[1] is None
+    with pytest.raises(search.GaveUp):
+        search.iterative(find, lambda r: r.where("false"), start=2, rounds=3)
+    with pytest.raises(ValueError):
+        search.cheapest(spark, succ.withColumn("confidence", F.lit(0.0)), starts, budget=1.0)
+    assert not [t for t in spark.catalog.listTables() if "successors" in t.name]
     near = search.cheapest(spark, succ, starts, budget=1.2)
     assert rows(near, "path") == [("",), (",0",), (",0,0",), (",1",)]
     assert search.next_budget(near, succ, 1.2) == pytest.approx(1.2 + 0.3 + 1)
@@ -146,6 +151,9 @@ def test_commit_witness_cache_closure(spark):
     steps = spark.createDataFrame([(1, 1, 0, "auto", 3), (1, 0, 1, "intro", 0)], "path_id long, at int, focus int, action string, rank int")
     (w,) = search.witness(steps).collect()
     assert w["witness"] == "only 2: intro; only 1: auto" and w["trace"] == [0, 3]
+    chain = spark.createDataFrame([(i, i + 1) for i in range(100)], "src long, dst long")
+    assert search.closure(spark, chain, spark.createDataFrame([(80,)], "node long")).count() == 21
+    assert search.closure(spark, chain, spark.range(100).toDF("node")).count() == 101 * 100 // 2 + 100
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 4)], "src long, dst long")
     assert rows(search.closure(spark, edges, spark.createDataFrame([(1,), (4,), (5,)], "node long")), "node", "reached") == [(1, 1), (1, 2), (1, 3), (4, 4), (5, 5)]
 

@@ -68,8 +68,8 @@ class Engine:
         judged = self.neighbours(queries).join(verdicts, ["query_id", "action"], "left").fillna(False, ["solves", "progresses"])
         return ranking.suggested(judged, p=self.config.solves, q=self.config.progresses)
 
-    def search(self, successors: DataFrame, starts: DataFrame, solved: Callable[[DataFrame], DataFrame], *, rounds: int = 16):
-        """Deepen the diagonal search until a solution is found: (budget, solutions or None)."""
+    def search(self, successors: DataFrame, starts: DataFrame, solved: Callable[[DataFrame], DataFrame], *, rounds: int | None = None):
+        """Deepen the diagonal search until a solution is found or nothing new is reached: (budget, solutions or None); GaveUp if `rounds` run out first."""
         c = self.config
         return search.iterative(lambda b: search.diagonal(self.spark, successors, starts, budget=b), solved, start=c.start_budget, step=c.budget_step, rounds=rounds)
 

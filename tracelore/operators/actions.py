@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -112,10 +114,13 @@ def cooked(uses: DataFrame, existing: DataFrame) -> DataFrame:
     return uses.join(gone, ["tree_id", "node_id"], "left").withColumn("kind", F.coalesce("kind", F.lit("Call")))
 
 
-def round_trip_failures(arguments: DataFrame) -> DataFrame:
-    """Trees whose stripped form, filled again, is not what one argument a position gives; none is expected."""
+def round_trip_failures(arguments: DataFrame, printed: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
+    """Trees whose stripped form, filled again, is not what one argument a position gives; none is expected.
+
+    printed: what printing and parsing make of (tree_id, template, args) in between.
+    """
     one = one_variable(arguments)
-    strip = filled(stripped(one))
+    strip = filled(printed(stripped(one)))
     whole = one.groupBy("tree_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "arg"))), lambda x: x["arg"]), " ").alias("text"))
     return whole.join(strip.select("tree_id", F.col("filled").alias("text")), ["tree_id", "text"], "left_anti")
 

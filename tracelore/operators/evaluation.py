@@ -13,17 +13,17 @@ from .model import sliding_frequency, with_context
 PROTOCOLS = ("intra", "intrab", "inter", "real")
 
 
-def seen(protocol: str) -> Column:
-    """Condition on d (an earlier instance) and q (a query), both with seq, step, lemma, status."""
+def seen(protocol: str, d: Column, q: Column) -> Column:
+    """Condition on d (an earlier instance) and q (a query), both structures with seq, step, lemma, status."""
     if protocol == "intra":
-        return F.col("d.seq") < F.col("q.seq")
+        return d["seq"] < q["seq"]
     if protocol == "intrab":
-        return F.col("d.step") < F.col("q.step")
-    own = F.col("d.lemma") != F.col("q.lemma")
+        return d["step"] < q["step"]
+    own = d["lemma"] != q["lemma"]
     if protocol == "inter":
         return own
     if protocol == "real":
-        return own & (F.col("d.status") == "Original")
+        return own & (d["status"] == "Original")
     raise ValueError(f"no protocol {protocol}")
 
 
@@ -38,17 +38,21 @@ def prequential(instances: DataFrame, features: DataFrame, *, protocol: str = "i
     weights = sliding_frequency(features, width=width).select("seq", "feature", idf(F.col("n"), F.col("df")).alias("idf"))
     facts = instances.select("seq", "step", "lemma", "status", "action")
     wide = with_context(features.join(facts, "seq"), "seq", width)
-    q = wide.where(~F.col("context")).join(weights, ["seq", "feature"]).alias("q")
-    d = wide.alias("d")
+    facts_of = F.struct("seq", "step", "lemma", "status")
+    asked = wide.where(~F.col("context")).join(weights, ["seq", "feature"]).select("feature", "block", "idf", facts_of.alias("q"))
+    held = wide.select("feature", "block", "action", facts_of.alias("d"))
     inside = (F.col("d.seq") < F.col("q.seq")) & (F.col("d.seq") >= F.col("q.seq") - width)
-    met = q.join(d, [q["feature"] == d["feature"], q["block"] == d["block"], inside, seen(protocol)])
-    scores = met.groupBy(F.col("q.seq").alias("seq"), F.col("d.seq").alias("entry"), F.col("d.action").alias("action")).agg(F.sum("q.idf").alias("score"))
+    met = asked.join(held, ["feature", "block"]).where(inside & seen(protocol, F.col("d"), F.col("q")))
+    scores = met.groupBy(F.col("q.seq").alias("seq"), F.col("d.seq").alias("entry"), "action").agg(F.sum("idf").alias("score"))
     best = scores.groupBy("seq", "action").agg(rounded(F.max("score")).alias("score"))
     # actions present in what may be seen are ranked with score 0; only the truth's place matters
     blocks = with_context(facts, "seq", width)
-    a = blocks.where(~F.col("context")).alias("q")
-    b = blocks.alias("d")
-    present = a.join(b, [a["block"] == b["block"], inside, seen(protocol)]).select(F.col("q.seq").alias("seq"), F.col("d.action").alias("action")).distinct()
+    # an action's instances in a block and the one before, the newest first: at most two blocks of them, and most queries look at the first few
+    entries = F.sort_array(F.collect_list(F.struct("seq", "step", "lemma", "status")), asc=False)
+    groups = blocks.groupBy("block", F.col("action").alias("held")).agg(entries.alias("entries"))
+    q = blocks.where(~F.col("context")).select("block", F.struct("seq", "step", "lemma", "status").alias("q"))
+    allowed = lambda d: (d["seq"] < F.col("q.seq")) & (d["seq"] >= F.col("q.seq") - width) & seen(protocol, d, F.col("q"))
+    present = q.join(groups, "block").where(F.exists("entries", allowed)).select(F.col("q.seq").alias("seq"), F.col("held").alias("action"))
     whole = present.join(best, ["seq", "action"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     w = Window.partitionBy("seq").orderBy(F.desc("score"), "action")
     ranking = whole.withColumn("rank", F.row_number().over(w) - 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import seeded_hex
+from ..functions.hashing import portable_id
 
 
 def seeds(tries: int, depth: int) -> list[tuple[int, int, int]]:
@@ -16,16 +16,18 @@ def seeds(tries: int, depth: int) -> list[tuple[int, int, int]]:
 def signatures(features: DataFrame, instances: DataFrame, *, tries: int = 11, depth: int = 9, key: str = "entry_id", feature: str = "feature") -> DataFrame:
     """(key, trie, signature): a bit string a trie, a bit being whether the least hash under the level's seed is even.
 
-    An instance without features has the largest hash, an odd one, everywhere. The minima are partial aggregates.
+    An instance without features has the largest hash, an odd one, everywhere. A feature gives one row for each seed where its
+    instance's features are, so only features are shuffled; one that is listed twice has the same minima.
     """
-    numbers = seeds(tries, depth)
-    distinct = features.select(key, feature).distinct()
-    # hashes compare as hexadecimal strings of one length, and the last digit says whether one is even
-    minima = [F.min(seeded_hex(s, F.col(feature))).alias(f"m{t}_{d}") for t, d, s in numbers]
-    rows = instances.select(key).join(distinct.groupBy(key).agg(*minima), key, "left")
-    bit = lambda t, d: F.when(F.substring(f"m{t}_{d}", 8, 1).isin(*"02468ace"), F.lit("1")).otherwise(F.lit("0"))
-    per_trie = F.array(*(F.struct(F.lit(t).alias("trie"), F.concat(*(bit(t, d) for d in range(depth))).alias("signature")) for t in range(tries)))
-    return rows.select(key, F.explode(per_trie).alias("s")).select(key, "s.trie", "s.signature")
+    each = F.explode(F.array(*(F.struct(F.lit(t).alias("trie"), F.lit(d).alias("lvl"), F.lit(f"{s}:").alias("seed")) for t, d, s in seeds(tries, depth))))
+    # all of an instance's seeds in one task, and as many tasks as for any shuffle: adaptive execution would see few bytes and not the work
+    dealt = features.select(key, feature).repartition(int(features.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    hashed = dealt.select(key, feature, each.alias("s")).select(key, "s.trie", "s.lvl", portable_id(F.concat("s.seed", feature)).alias("h"))
+    least = hashed.groupBy(key, "trie", "lvl").agg(F.min("h").alias("h"))
+    even = F.when(F.col("h") % 2 == 0, F.lit("1")).otherwise(F.lit("0"))
+    strings = least.groupBy(key, "trie").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("lvl", even.alias("bit")))), lambda x: x["bit"]), "").alias("signature"))
+    every = instances.select(key, F.explode(F.array(*map(F.lit, range(tries)))).alias("trie"))
+    return every.join(strings, [key, "trie"], "left").withColumn("signature", F.coalesce("signature", F.lit("0" * depth)))
 
 
 def prefix_counts(sigs: DataFrame, depth: int) -> DataFrame:
@@ -65,6 +67,6 @@ def candidates(queries: DataFrame, entries: DataFrame, *, depth: int = 9, most:
     wanted = F.coalesce(*(F.when(F.col("trie") == t, F.array(*map(F.lit, sorted(ds)))) for t, ds in sorted(depths.items())))
     offered = entries.select(entry, "trie", "signature", F.explode(wanted).alias("d")).withColumn("prefix", F.substring("signature", F.lit(1), F.col("d")))
     met = asked.join(offered, ["trie", "d", "prefix"])
-    same = F.length(F.regexp_extract(F.concat_ws(",", F.zip_with(F.split("deep", ""), F.split("signature", ""), lambda a, b: F.when(a.isNull(), F.lit("")).when(a == b, F.lit("1")).otherwise(F.lit("0")))), "^((?:1,?)*)", 1))
-    shared = F.floor((same + 1) / 2)  # characters of "1,1,1" are twice the matches less one
-    return met.select(query, entry, "trie", F.least(shared.cast("int"), F.col("last")).alias("level"))
+    # prefixes that are equal: all up to where the two part
+    shared = sum(((F.substring("deep", 1, d) == F.substring("signature", 1, d)) & (F.length("deep") >= d)).cast("int") for d in range(1, depth + 1))
+    return met.select(query, entry, "trie", F.least(shared, F.col("last")).alias("level"))

@@ -9,16 +9,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def dense_sequence(df: DataFrame, key: str, name: str = "seq", buckets: int = 512) -> DataFrame:
+def dense_sequence(df: DataFrame, key: str, name: str = "seq", buckets: int = 512, rows_in_bucket: int = 100_000) -> DataFrame:
     """Number rows 1, 2, ... by a unique integer key, without sorting everything in one task.
 
-    The key's span is cut into equal buckets; a row's number is the count of rows in earlier buckets and its place in its own.
-    The counts, at most `buckets` of them, are what is broadcast.
+    The key's span is cut into equal buckets, so many that keys that are spread evenly leave rows_in_bucket in each, and `buckets` at least; a row's number
+    is the count of rows in earlier buckets and its place in its own. The counts, one a bucket, are what is broadcast. Keys that crowd in a part
+    of their span make large buckets, which cost time, not rows.
     """
-    low, high = df.agg(F.min(key), F.max(key)).first()
+    low, high, n = df.agg(F.min(key), F.max(key), F.count(key)).first()
     if low is None:
         return df.withColumn(name, F.lit(None).cast("long"))
-    width = (high - low) // buckets + 1
+    width = (high - low) // max(buckets, n // rows_in_bucket) + 1
     tagged = df.withColumn("__b", F.floor((F.col(key) - low) / F.lit(width)))
     counts = tagged.groupBy("__b").count()
     before = counts.withColumn("__before", F.coalesce(F.sum("count").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__b", "__before")
@@ -104,7 +105,9 @@ class OrderLearner:
     def ranking(self) -> DataFrame:
         """(action, seq, rank): one ranking, the same for every state; seq is dense from 1, so a rank needs no sort."""
         if self.order == "random":
-            return self.rows.select("action", "seq", (F.row_number().over(Window.orderBy(F.rand(7))) - 1).alias("rank"))
+            # a hash of the number, which is unique, puts rows in an order of chance; its values are spread evenly, so are the buckets
+            dealt = self.rows.select("action", "seq", F.shiftright(F.xxhash64("seq"), 2).alias("h"))
+            return dense_sequence(dealt, "h", "rank").select("action", "seq", (F.col("rank") - 1).alias("rank"))
         newest = self.rows.agg(F.max("seq")).first()[0] or 0
         return self.rows.select("action", "seq", (F.lit(newest) - F.col("seq") if self.order == "newest" else F.col("seq") - 1).alias("rank"))
 

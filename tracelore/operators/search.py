@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 import threading
 import time
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import tables
+
 _strategies: list[tuple[str, Callable[..., DataFrame]]] = []
 
 
@@ -24,29 +29,45 @@ def strategy() -> Callable[..., DataFrame]:
     return _strategies[-1][1]
 
 
+@contextmanager
+def _named(**frames: DataFrame):
+    """Temporary views of the frames under names of their own, so that searches of one session do not mix."""
+    own = {k: f"{k}_{uuid.uuid4().hex}" for k in frames}
+    for k, df in frames.items():
+        df.createOrReplaceTempView(own[k])
+    try:
+        yield own
+    finally:
+        for k, df in frames.items():
+            df.sparkSession.catalog.dropTempView(own[k])
+
+
 def diagonal(spark: SparkSession, successors: DataFrame, starts: DataFrame, *, budget: int = 8) -> DataFrame:
     """(start, state, path, spent, len): all sequences of choices whose sum of (rank + 1) is within the budget.
 
     successors: (state, rank, confidence, next); a confidence of minus infinity ends a state's choices. The empty sequence is
-    included. Depth is bounded by the budget.
+    included. Depth is bounded by the budget, and there is no limit on rows.
     """
     cut = successors.where(F.col("confidence") > float("-inf")).where(F.col("rank") < budget)
-    cut.createOrReplaceTempView("diagonal_successors")
-    starts.createOrReplaceTempView("diagonal_starts")
-    return spark.sql(f"""
-        WITH RECURSIVE r AS (
-          SELECT start, start AS state, cast('' AS string) AS path, 0 AS spent, 0 AS len FROM diagonal_starts
+    with _named(successors=cut, starts=starts) as v:
+        return spark.sql(f"""
+        WITH RECURSIVE r MAX RECURSION LEVEL {int(budget) + 1} AS (
+          SELECT start, start AS state, cast('' AS string) AS path, 0 AS spent, 0 AS len FROM {v["starts"]}
           UNION ALL
           SELECT r.start, s.next, concat(r.path, ',', cast(s.rank AS string)), r.spent + s.rank + 1, r.len + 1
-          FROM r JOIN diagonal_successors s ON s.state = r.state WHERE r.spent + s.rank + 1 <= {int(budget)})
-        SELECT * FROM r""")
+          FROM r JOIN {v["successors"]} s ON s.state = r.state WHERE r.spent + s.rank + 1 <= {int(budget)})
+        SELECT * FROM r LIMIT ALL""")
+
+
+class GaveUp(Exception):
+    """A limit of rounds was reached before the search had ended."""
 
 
-def iterative(search: Callable[[int], DataFrame], solved: Callable[[DataFrame], DataFrame], *, start: int = 8, step: int = 1, rounds: int = 100) -> tuple[int, DataFrame | None]:
-    """Deepen the budget by `step` until a round has a solution; (budget, solutions), or (last budget, None) if rounds run out or
-    a round reaches nothing that the one before did not."""
+def iterative(search: Callable[[int], DataFrame], solved: Callable[[DataFrame], DataFrame], *, start: int = 8, step: int = 1, rounds: int | None = None) -> tuple[int, DataFrame | None]:
+    """Deepen the budget by `step` until a round has a solution: (budget, solutions), or (last budget, None) if
+    a round reaches nothing that the one before did not. With `rounds`, GaveUp is raised when they run out before either."""
     budget, before = start, -1
-    for _ in range(rounds):
+    for i in itertools.count(1):
         reached = search(budget)
         good = solved(reached)
         if good.limit(1).count():
@@ -54,24 +75,29 @@ def iterative(search: Callable[[int], DataFrame], solved: Callable[[DataFrame],
         now = reached.count()
         if now == before:
             return budget, None
+        if i == rounds:
+            raise GaveUp(f"no solution within {rounds} rounds, up to budget {budget}")
         before, budget = now, budget + step
-    return budget, None
 
 
 def cheapest(spark: SparkSession, successors: DataFrame, starts: DataFrame, *, budget: float) -> DataFrame:
     """(start, state, path, left, len): a choice adds its (negative) confidence to the budget; it must stay above 0.
 
-    A choice that would not ends its state's choices, as do all of lower confidence.
+    A choice that would not ends its state's choices, as do all of lower confidence. There is no limit on rows; paths are no longer
+    than the budget allows choices of the smallest cost, which must not be 0 (ValueError).
     """
-    successors.createOrReplaceTempView("cheapest_successors")
-    starts.createOrReplaceTempView("cheapest_starts")
-    return spark.sql(f"""
-        WITH RECURSIVE r AS (
-          SELECT start, start AS state, cast('' AS string) AS path, cast({float(budget)} AS double) AS left, 0 AS len FROM cheapest_starts
+    least = successors.agg(F.max("confidence")).first()[0]
+    if least is not None and least >= 0:
+        raise ValueError("a choice without cost could be repeated for ever")
+    most = 1 if least is None or least == float("-inf") else math.ceil(budget / -least) + 1
+    with _named(successors=successors, starts=starts) as v:
+        return spark.sql(f"""
+        WITH RECURSIVE r MAX RECURSION LEVEL {most + 1} AS (
+          SELECT start, start AS state, cast('' AS string) AS path, cast({float(budget)} AS double) AS left, 0 AS len FROM {v["starts"]}
           UNION ALL
           SELECT r.start, s.next, concat(r.path, ',', cast(s.rank AS string)), r.left + s.confidence, r.len + 1
-          FROM r JOIN cheapest_successors s ON s.state = r.state WHERE r.left + s.confidence > 0)
-        SELECT * FROM r""")
+          FROM r JOIN {v["successors"]} s ON s.state = r.state WHERE r.left + s.confidence > 0)
+        SELECT * FROM r LIMIT ALL""")
 
 
 def next_budget(reached: DataFrame, successors: DataFrame, budget: float) -> float | None:
@@ -98,21 +124,33 @@ def cached(goals: DataFrame, cache: DataFrame, *, key: str = "goal") -> tuple[Da
     return goals.join(cache, key), goals.join(cache, key, "left_anti")
 
 
-def closure(spark: SparkSession, edges: DataFrame, starts: DataFrame, rounds: int = 64) -> DataFrame:
-    """(node, reached): everything that can be reached over edges (src, dst), the node itself included.
+def closure(spark: SparkSession, edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(node, reached): everything that can be reached over edges (src, dst), the node itself included. Cycles end, as pairs are distinct; there is no limit on the way's length.
 
-    A round adds what is new only (anti join), so cycles end. Rounds are checkpointed.
+    If every source of an edge is a start, what is reached is joined with itself, so a chain of n edges takes log2(n) rounds. Else
+    that would follow edges that no start reaches, and a round goes one edge further from the pairs that are new. Rounds end when one brings
+    nothing new. They are written to the shared folder, which cuts their lineage.
     """
-    every = starts.select(F.col("node"), F.col("node").alias("reached")).distinct()
-    new = every
-    for i in range(rounds):
-        new = new.join(edges, new["reached"] == edges["src"]).select("node", F.col("dst").alias("reached")).distinct().join(every, ["node", "reached"], "left_anti")
-        if spark.sparkContext.getCheckpointDir() is not None:
-            new = new.checkpoint()
+    kept = tables(spark, "closure")
+    links = kept(edges.where("src is not null and dst is not null and src <> dst").select("src", "dst").distinct())
+    every = kept(starts.select("node", F.col("node").alias("reached")).distinct())
+    if not links.join(every, links["src"] == every["node"], "left_anti").limit(1).count():
+        every = kept(every.unionByName(links.select(F.col("src").alias("node"), F.col("dst").alias("reached"))).distinct())
+        size = -1
+        while (now := every.count()) != size:
+            size = now
+            a, b = every.alias("a"), every.alias("b")
+            # a node's pair with itself keeps what is known
+            further = a.join(b, F.col("a.reached") == F.col("b.node")).select(F.col("a.node").alias("node"), F.col("b.reached").alias("reached"))
+            every = kept(further.unionByName(every).distinct())
+        return every
+    new, i = every, 0
+    while True:
+        new = kept(new.join(links, new["reached"] == links["src"]).select("node", F.col("dst").alias("reached")).distinct().join(every, ["node", "reached"], "left_anti"))
         if not new.limit(1).count():
-            break
-        every = every.unionByName(new)
-    return every
+            return every
+        i += 1
+        every = every.unionByName(new) if i % 16 else kept(every.unionByName(new))
 
 
 def unsolved(before: DataFrame, after: DataFrame, dependencies: DataFrame) -> DataFrame:
@@ -125,15 +163,17 @@ def within(column: Column, budget: int | None) -> Column:
     return F.lit(True) if budget is None else column <= budget
 
 
-def until_unshelved(search_round, goals: DataFrame, rounds: int = 16) -> list[DataFrame]:
-    """Search again for what a round shelved, until nothing is; the solutions of each round. search_round returns (solutions, shelved goals)."""
+def until_unshelved(search_round, goals: DataFrame, rounds: int | None = None) -> list[DataFrame]:
+    """Search again for what a round shelved, until nothing is; the solutions of each round. search_round returns (solutions, shelved goals).
+    With `rounds`, GaveUp is raised if goals are shelved still when they run out."""
     out = []
-    for _ in range(rounds):
+    for i in itertools.count(1):
         solutions, goals = search_round(goals)
         out.append(solutions)
         if not goals.limit(1).count():
-            break
-    return out
+            return out
+        if i == rounds:
+            raise GaveUp(f"goals are still shelved after {rounds} rounds")
 
 
 class TimedOut(Exception):

@@ -132,13 +132,17 @@ def solved_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.unsolved(before, after, edges)
 
 
-@query("""WITH RECURSIVE e AS (SELECT n_nationkey AS src, (n_nationkey * 7 + 3) % 25 AS dst FROM nation UNION SELECT n_nationkey, 100 + n_regionkey FROM nation),
-  r AS (SELECT n_nationkey AS node, n_nationkey AS reached FROM nation UNION SELECT r.node, e.dst FROM r JOIN e ON e.src = r.reached)
+@query("""WITH RECURSIVE e AS (SELECT n_nationkey AS src, (n_nationkey * 7 + 3) % 25 AS dst FROM nation UNION SELECT n_nationkey, 100 + n_regionkey FROM nation
+    UNION SELECT 1000 + range, 1001 + range FROM range(200) UNION SELECT 100, 1000),
+  r AS (SELECT node, node AS reached FROM (SELECT n_nationkey AS node FROM nation UNION SELECT src FROM e) UNION SELECT r.node, e.dst FROM r JOIN e ON e.src = r.reached)
   SELECT node, reached FROM r""")
 def deps_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each nation, region and link of a chain of 200 depends on; the chain stands behind one of the regions."""
     n = ad.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("r"))
     edges = n.select(F.col("k").alias("src"), ((F.col("k") * 7 + 3) % 25).alias("dst")).unionByName(n.select(F.col("k").alias("src"), (F.col("r") + 100).alias("dst")))
-    return search.closure(spark, edges, n.select(F.col("k").alias("node")))
+    chain = spark.range(200).select((F.col("id") + 1000).alias("src"), (F.col("id") + 1001).alias("dst")).unionByName(spark.sql("SELECT 100L AS src, 1000L AS dst"))
+    edges = edges.unionByName(chain)
+    return search.closure(spark, edges, n.select(F.col("k").alias("node")).unionByName(edges.select(F.col("src").alias("node"))))
 
 
 @query("""WITH RECURSIVE e AS (SELECT n_nationkey AS src, (n_nationkey * 7 + 3) % 25 AS dst FROM nation),
@@ -287,9 +291,11 @@ def strip_substitute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return actions.filled(actions.stripped(actions.one_variable(arguments(spark, sf_dir)))).select("tree_id", "template", "filled")
 
 
-@query("SELECT CAST(NULL AS BIGINT) AS tree_id, CAST(NULL AS VARCHAR) AS text WHERE false")
+@query(f"WITH {ARGS} SELECT tree_id, string_agg(arg, ' ' ORDER BY ord) AS text FROM one WHERE tree_id % 97 = 0 GROUP BY tree_id")
 def round_trip_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return actions.round_trip_failures(arguments(spark, sf_dir)).select("tree_id", "text")
+    """All trees go through a printer that loses the last argument of some of them; just these are found."""
+    lossy = lambda x: x.withColumn("args", F.when(F.col("tree_id") % 97 == 0, F.slice("args", 1, F.size("args") - 1)).otherwise(F.col("args")))
+    return actions.round_trip_failures(arguments(spark, sf_dir), lossy).select("tree_id", "text")
 
 
 VARS = LINES + """,

@@ -9,6 +9,7 @@ from ..functions import features as ft
 from ..functions.hashing import portable_id, rounded
 from ..operators import forest, model, ranking
 from ..sources import adapters as ad
+from ..sources.sinks import tables
 from .registry import query
 
 ORD = """
@@ -37,11 +38,10 @@ def order_model(spark: SparkSession, sf_dir: str):
     """(instances of a bounded model, their features, weights, features of the queries)."""
     held = model.last_instances(model.dense_sequence(ad.order_instances(spark, sf_dir), "entry_id")).select("entry_id", "action")
     # at most 1000 instances, whatever the input: the model is what is broadcast
-    features = ad.order_features(spark, sf_dir)
-    own = features.join(F.broadcast(held), "entry_id")
+    own = ad.order_features(spark, sf_dir, held.select("entry_id")).join(F.broadcast(held), "entry_id")
     n = held.count()
     weights = model.document_frequency(own, "entry_id").select("feature", ft.idf(F.lit(n), F.col("df")).alias("idf"))
-    asked = features.where(F.col("entry_id") % 100 == 0).withColumnRenamed("entry_id", "query_id")
+    asked = ad.order_features(spark, sf_dir).where(F.col("entry_id") % 100 == 0).withColumnRenamed("entry_id", "query_id")
     return held, own, weights, asked
 
 
@@ -224,7 +224,7 @@ def lsh_signature_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def turn_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sigs = turn_signatures(spark, sf_dir).cache()
+    sigs = tables(spark, "forest")(turn_signatures(spark, sf_dir))
     return forest.candidates(sigs.where(F.col("entry_id") % 100 == 0).withColumnRenamed("entry_id", "query_id"), sigs)
 
 

@@ -23,17 +23,23 @@ def order_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("entry_id"), F.col("o_orderpriority").alias("action"), F.col("o_custkey").alias("lemma"))
 
 
-def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(entry_id, name, feature): tokens of each line, the line being a hypothesis."""
-    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+def order_lines(spark: SparkSession, sf_dir: str, held: DataFrame | None = None) -> DataFrame:
+    """(entry_id, name, feature): tokens of each line, the line being a hypothesis. held: the orders (entry_id) of a bounded model, if only theirs are wanted."""
+    lines = table(spark, sf_dir, "lineitem")
+    if held is not None:
+        lines = lines.join(F.broadcast(held), lines["l_orderkey"] == held["entry_id"], "left_semi")
+    lines = lines.join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     tokens = F.array(F.concat(F.lit("brand="), "p_brand"), F.concat(F.lit("flag="), "l_returnflag"), F.concat(F.lit("line="), "l_linestatus"))
     return lines.select(F.col("l_orderkey").alias("entry_id"), F.concat(F.lit("L"), F.col("l_linenumber").cast("string")).alias("name"), F.explode(tokens).alias("feature"))
 
 
-def order_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(entry_id, kind, feature): counted tokens of an order (goal) and its lines (hypotheses), prefix and count folded in."""
-    goal = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("entry_id"), F.explode(F.array(F.concat(F.lit("status="), "o_orderstatus"), F.concat(F.lit("month="), F.month("o_orderdate").cast("string")))).alias("feature"))
-    whole = goal.withColumn("side", F.lit(ft.GOAL)).unionByName(order_lines(spark, sf_dir).drop("name").withColumn("side", F.lit(ft.HYPOTHESIS)))
+def order_features(spark: SparkSession, sf_dir: str, held: DataFrame | None = None) -> DataFrame:
+    """(entry_id, kind, feature): counted tokens of an order (goal) and its lines (hypotheses), prefix and count folded in. held: as in order_lines()."""
+    orders = table(spark, sf_dir, "orders")
+    if held is not None:
+        orders = orders.join(F.broadcast(held), orders["o_orderkey"] == held["entry_id"], "left_semi")
+    goal = orders.select(F.col("o_orderkey").alias("entry_id"), F.explode(F.array(F.concat(F.lit("status="), "o_orderstatus"), F.concat(F.lit("month="), F.month("o_orderdate").cast("string")))).alias("feature"))
+    whole = goal.withColumn("side", F.lit(ft.GOAL)).unionByName(order_lines(spark, sf_dir, held).drop("name").withColumn("side", F.lit(ft.HYPOTHESIS)))
     counted = whole.groupBy("entry_id", "side", "feature").agg(F.count(F.lit(1)).alias("cnt"))
     return counted.select("entry_id", F.when(F.col("side") == ft.GOAL, "Struct").otherwise("Seman").alias("kind"), ft.folded(F.col("feature"), F.col("cnt"), F.col("side")).alias("feature"))
 
