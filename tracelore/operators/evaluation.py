@@ -13,8 +13,9 @@ from .model import sliding_frequency, with_context
 PROTOCOLS = ("intra", "intrab", "inter", "real")
 
 
-def seen(protocol: str, d: Column, q: Column) -> Column:
-    """Condition on d (an earlier instance) and q (a query), both structures with seq, step, lemma, status."""
+def seen(protocol: str, d: Column | None = None, q: Column | None = None) -> Column:
+    """Condition on d (an earlier instance) and q (a query), both structures with seq, step, lemma, status; columns of these names by default."""
+    d, q = F.col("d") if d is None else d, F.col("q") if q is None else q
     if protocol == "intra":
         return d["seq"] < q["seq"]
     if protocol == "intrab":
