@@ -30,3 +30,64 @@ def test_empty_documents(spark):
     for _, stage in cp.STAGES:
         at = stage(spark, at, D)
     assert at.count() == 0
+
+
+def test_stages_against_brute_force(spark):
+    """Each stage on what the one before kept, against plain code: a scan for terms, all pairs of shingle sets, tiling of every item, counting of terms."""
+    import re
+
+    import numpy as np
+    from test_sanitise import brute_terms
+    from test_toxicity import plain
+
+    from tracelore.llm import toxicity
+
+    docs = spark.read.parquet(f"{D}/documents.parquet").where("doc_id < 120")
+    at = {r["doc_id"]: r["text"] for r in docs.collect()}
+    stages = dict(cp.STAGES)
+    keep = lambda df: {r["doc_id"]: r["text"] for r in df.collect()}
+
+    lexicon = toxicity.learn(docs, spark.read.parquet(f"{D}/labels.parquet"))
+    clean = stages["toxicity"](spark, docs, D)
+    want = {i: t for i, t in at.items() if toxicity.normalised(plain(lexicon, t)[0], len(t or "")) < lexicon.threshold}
+    assert keep(clean) == want
+
+    lower = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower))
+    sets = {i: {tuple(w[k : k + min(5, len(w))]) for k in range(len(w) - min(5, len(w)) + 1)} if (w := words(t)) else set() for i, t in want.items()}
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    want = {i: t for i, t in want.items() if top(i) == i}
+    single = stages["near_dedup"](spark, clean, D)
+    assert keep(single) == want
+
+    items = [decontaminate.word_hashes(decontaminate.words(r["text"])) for r in spark.read.parquet(f"{D}/benchmark.parquet").collect()]
+
+    def leaks(t):
+        tokens = decontaminate.word_hashes(decontaminate.words(t))
+        return any(len(p) and np.isin(p, tokens).mean() >= 0.6 and sum(g[2] for g in decontaminate.tiles(p, tokens, min(3, len(p)))) >= 0.6 * len(p) for p in items)
+
+    want = {i: t for i, t in want.items() if not leaks(t)}
+    free = stages["decontamination"](spark, single, D)
+    assert keep(free) == want
+
+    ids = sorted(want)
+    named = [[{"start": a, "kind": k, "end": b} for a, k, b in s] for s in brute_terms([want[i] for i in ids])]
+    want = {i: sanitise.redact(want[i], s) for i, s in zip(ids, named)}
+    private = stages["pii"](spark, free, D)
+    assert keep(private) == want
+
+    lengths = {}
+    for r in stages["packing"](spark, private, D).collect():
+        lengths[r["doc_id"]] = lengths.get(r["doc_id"], 0) + r["length"]
+    assert lengths == {i: len(words(t)) for i, t in want.items()}
