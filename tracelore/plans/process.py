@@ -14,14 +14,14 @@ from .similarity import EVT
 SEEN = {"intra": "d.seq < q.seq", "intrab": "d.step < q.step", "inter": "d.lemma <> q.lemma", "real": "d.lemma <> q.lemma AND d.status = 'Original'"}
 
 
-def eval_sql(protocol: str) -> str:
+def eval_sql(protocol: str, win: str = "win", ef: str = "ef") -> str:
     return f"""SELECT q.seq, q.action AS truth, CAST(coalesce(k.rank, -1) AS INTEGER) AS truth_rank FROM ev q LEFT JOIN (
       SELECT seq, action, row_number() OVER (PARTITION BY seq ORDER BY score DESC, action) - 1 AS rank FROM (
         SELECT p.seq, p.action, round(coalesce(max(s.score), 0.0), 6) AS score FROM (
           SELECT DISTINCT q.seq, d.action FROM ev q JOIN ev d ON d.seq < q.seq AND d.seq >= q.seq - 1000 AND {SEEN[protocol]}) p
         LEFT JOIN (
           SELECT q.seq, d.entry_id, d.action, sum(ln((1.0 + w.n) / (1.0 + w.df))) AS score
-          FROM ev q JOIN win w ON w.seq = q.seq JOIN ef f ON f.feature = w.feature JOIN ev d ON d.entry_id = f.entry_id
+          FROM ev q JOIN {win} w ON w.seq = q.seq JOIN {ef} f ON f.feature = w.feature JOIN ev d ON d.entry_id = f.entry_id
           WHERE d.seq < q.seq AND d.seq >= q.seq - 1000 AND {SEEN[protocol]} GROUP BY ALL) s ON s.seq = p.seq AND s.action = p.action
         GROUP BY ALL)) k ON k.seq = q.seq AND k.action = q.action"""
 
@@ -30,8 +30,20 @@ WIN = EVT + """,
   win AS (SELECT seq, feature, count(*) OVER (PARTITION BY feature ORDER BY seq RANGE BETWEEN 1000 PRECEDING AND 1 PRECEDING) AS df, least(seq - 1, 1000) AS n FROM ef WHERE feature IS NOT NULL)"""
 
 
-def evaluated(spark: SparkSession, sf_dir: str, protocol: str) -> DataFrame:
-    return evaluation.prequential(ad.event_instances(spark, sf_dir), ad.event_features(spark, sf_dir).select("seq", "feature"), protocol=protocol)
+#: Complex features: the tokens of an event by kind, and each with the one before it.
+COMPLEX = WIN + """,
+  tok AS (SELECT seq, list_filter(['user=' || user_id, 'hour=' || hour(ts), 'value=' || CAST(floor(value / 10) AS BIGINT), 'k=' || json_extract_string(props, '$.k')], lambda t: t IS NOT NULL) AS t FROM seqs),
+  cf AS (SELECT DISTINCT entry_id, seq, feature FROM (SELECT event_id AS entry_id, seqs.seq, unnest(list_concat(list_transform(t, lambda a: 'Seman:' || a), list_transform(range(2, len(t) + 1), lambda i: 'Verti:' || t[i] || '-' || t[i - 1]))) AS feature FROM tok JOIN seqs USING (seq))),
+  cwin AS (SELECT seq, feature, count(*) OVER (PARTITION BY feature ORDER BY seq RANGE BETWEEN 1000 PRECEDING AND 1 PRECEDING) AS df, least(seq - 1, 1000) AS n FROM cf)"""
+
+
+def evaluated(spark: SparkSession, sf_dir: str, protocol: str, kind: str = "simple") -> DataFrame:
+    features = ad.event_features(spark, sf_dir) if kind == "simple" else ad.event_complex_features(spark, sf_dir)
+    return evaluation.prequential(ad.event_instances(spark, sf_dir), features.select("seq", "feature"), protocol=protocol)
+
+
+#: Columns of the matrix that have exact neighbours.
+MATRIX = [(p, k) for k in ("simple", "complex") for p in ("real", "intra", "intrab", "inter")]
 
 
 @query(f"WITH {WIN} {eval_sql('intra')}")
@@ -54,14 +66,16 @@ def eval_real(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluated(spark, sf_dir, "real")
 
 
-@query(f"""WITH {WIN}, a AS ({eval_sql('intra')}), b AS ({eval_sql('inter')})
-  SELECT row_number() OVER (ORDER BY seq) AS "row", coalesce(CAST(a.truth_rank AS VARCHAR), '') AS "intra-simple-knn", coalesce(CAST(b.truth_rank AS VARCHAR), '') AS "inter-simple-knn"
-  FROM a JOIN b USING (seq)""")
+@query(f"""WITH {COMPLEX}, {", ".join(f"{p}_{k} AS ({eval_sql(p, *(('win', 'ef') if k == 'simple' else ('cwin', 'cf')))})" for p, k in MATRIX)}
+  SELECT row_number() OVER (ORDER BY seq) AS "row", {", ".join(f"coalesce(CAST({p}_{k}.truth_rank AS VARCHAR), '') AS \"{p}-{k}-knn\"" for p, k in MATRIX)}
+  FROM {" JOIN ".join(f"{p}_{k}" + (" USING (seq)" if n else "") for n, (p, k) in enumerate(MATRIX))}""")
 def eval_matrix_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ["intra-simple-knn", "inter-simple-knn"]
-    # seq is dense from 1, so it is the row already; matrix() numbers rows where it is not
-    a, b = (evaluated(spark, sf_dir, p).select(F.col("seq").alias("row"), F.col("truth_rank").cast("string").alias(n)) for p, n in zip(("intra", "inter"), names, strict=True))
-    return a.join(b, "row", "full").select("row", *(F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names))
+    """Protocols by learners; seq is dense from 1, so it is the row already (evaluation.matrix() numbers rows where it is not)."""
+    out = None
+    for p, k in MATRIX:
+        one = evaluated(spark, sf_dir, p, k).select(F.col("seq").alias("row"), F.col("truth_rank").cast("string").alias(f"{p}-{k}-knn"))
+        out = one if out is None else out.join(one, "row", "full")
+    return out.select("row", *(F.coalesce(F.col(f"`{p}-{k}-knn`"), F.lit("")).alias(f"{p}-{k}-knn") for p, k in MATRIX))
 
 
 @query(f"WITH {EVT} SELECT entry_id, action, starts_with(user_id::VARCHAR, '1') AS in_file FROM ev")

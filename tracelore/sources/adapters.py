@@ -50,11 +50,23 @@ def event_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("entry_id"), "seq", F.col("event_type").alias("action"), F.floor((F.col("seq") - 1) / 4).alias("step"), F.floor((F.col("seq") - 1) / 40).alias("lemma"), F.when(F.col("value") >= 5, "Original").otherwise("Substituted").alias("status"), "user_id", "value")
 
 
-def event_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(entry_id, seq, feature): user, hour, size of the value, and the key of its properties."""
+def event_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(entry_id, seq, tokens): user, hour, size of the value, and the key of its properties, those there are."""
     e = dense_sequence(table(spark, sf_dir, "events"), "event_id")
     tokens = F.array(F.concat(F.lit("user="), F.col("user_id").cast("string")), F.concat(F.lit("hour="), F.hour("ts").cast("string")), F.concat(F.lit("value="), F.floor(F.col("value") / 10).cast("string")), F.concat(F.lit("k="), F.get_json_object("props", "$.k")))
-    return e.select(F.col("event_id").alias("entry_id"), "seq", F.explode(F.array_distinct(F.array_compact(tokens))).alias("feature"))
+    return e.select(F.col("event_id").alias("entry_id"), "seq", F.array_compact(tokens).alias("tokens"))
+
+
+def event_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(entry_id, seq, feature): an event's distinct tokens."""
+    return event_tokens(spark, sf_dir).select("entry_id", "seq", F.explode(F.array_distinct("tokens")).alias("feature"))
+
+
+def event_complex_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(entry_id, seq, feature): an event's distinct tokens and each with the one before it, by kind."""
+    pairs = F.zip_with(F.slice("tokens", 2, F.size("tokens")), F.slice("tokens", 1, F.greatest(F.size("tokens") - 1, F.lit(0))), lambda a, b: F.concat(F.lit("Verti:"), a, F.lit("-"), b))
+    every = F.concat(F.transform("tokens", lambda t: F.concat(F.lit("Seman:"), t)), pairs)
+    return event_tokens(spark, sf_dir).select("entry_id", "seq", F.explode(F.array_distinct(every)).alias("feature"))
 
 
 def turn_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +79,14 @@ def turn_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_instances(spark, sf_dir).select("entry_id", F.explode(F.array_distinct(ft.words(F.col("text")))).alias("feature"))
 
 
+def turn_complex_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(entry_id, kind, feature): distinct words of a turn, and each word with the one before it."""
+    w = ft.words(F.col("text"))
+    pairs = F.zip_with(F.slice("w", 2, F.size("w")), F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit("-"), b))
+    kinds = F.concat(F.transform("w", lambda x: F.struct(F.lit("Seman").alias("kind"), x.alias("feature"))), F.transform(pairs, lambda x: F.struct(F.lit("Verti").alias("kind"), x.alias("feature"))))
+    return turn_instances(spark, sf_dir).select("entry_id", w.alias("w")).select("entry_id", F.explode(F.array_distinct(kinds)).alias("x")).select("entry_id", "x.kind", "x.feature")
+
+
 TREE = T.StructType([T.StructField("tree_id", T.LongType()), T.StructField("node_id", T.LongType()), T.StructField("parent_id", T.LongType()), T.StructField("ord", T.IntegerType()), T.StructField("role", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("symbol", T.StringType())])
 TREE_FEATURES = "tree_id long, kind string, feature string, cnt long"
 
