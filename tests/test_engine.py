@@ -58,3 +58,21 @@ def test_shelved_goals_and_small_functions(spark):
     rows = spark.createDataFrame([("a", "a"), ("b", None), (None, None)], "printed string, parsed string")
     assert [r["printed"] for r in actions.unparsed(rows).collect()] == ["b"]
     assert adapters.library_file("A.B") == "A/B.eval" and adapters.seconds_of(5) == 5.0 and adapters.seconds_of(1_000_000) == 0.1
+
+
+def test_limits_of_search(spark):
+
+    assert search.nested(lambda: search.nested(lambda: 3)) == 3
+    with pytest.raises(search.TooDeep):
+        search.nested(lambda: search.nested(lambda: search.nested(lambda: 3)))
+    assert search.nested(lambda: 4, most=1) == 4  # what failed has left nothing behind
+    succ = spark.createDataFrame([("s", i, -0.5 * (i + 1), "s") for i in range(3)], "state string, rank int, confidence double, next string")
+    starts = spark.createDataFrame([("s",)], "start string")
+    reached = search.diagonal(spark, succ, starts, budget=4)
+    assert [r["path"] for r in search.executed(reached, 3).orderBy("spent", "path").collect()] == ["", ",0", ",0,0"]
+    few = Engine(spark, Config(executions=2, start_budget=2))
+    assert few.search(succ, starts, lambda r: r.where("path = ',1'")) == (3, None)
+    assert few.benchmark("a", lambda x: False, 1.0, lambda: 5) == ("skip", None) and few.benchmark("a", lambda x: True, 9.0, lambda: 5) == ("found", 5)
+    slow = lambda: spark.range(0, 8, 1, 8).mapInPandas(lambda it: (time.sleep(4) or p for p in it), "id long").count()
+    few.set(kill_after_s=0.3)
+    assert few.benchmark("a", lambda x: True, 0.2, slow) == ("killed", None)

@@ -8,8 +8,8 @@ from dataclasses import dataclass
 @dataclass(frozen=True)
 class Config:
     """window: instances a bounded model remembers. tries, depth, sort_window: the hash forest. start_budget, budget_step: search.
-    step_timeout_s, suggest_timeout_s: limits for one executed candidate. solves, progresses: where suggesting stops.
-    nesting: searches inside searches. record: whether executions are recorded."""
+    executions: sequences that a start executes in a round of search, or no limit. solves, progresses: where suggesting stops. kill_after_s: how long a benchmark
+    outlives its limit. nesting: searches inside searches. record: whether executions are recorded."""
 
     window: int = 1000
     tries: int = 11
@@ -17,8 +17,7 @@ class Config:
     sort_window: int = 1000
     start_budget: int = 8
     budget_step: int = 1
-    step_timeout_s: float = 0.1
-    suggest_timeout_s: float = 1.0
+    executions: int | None = None
     solves: int = 10
     progresses: int = 10000
     nesting: int = 2

@@ -68,10 +68,21 @@ class Engine:
         judged = self.neighbours(queries).join(verdicts, ["query_id", "action"], "left").fillna(False, ["solves", "progresses"])
         return ranking.suggested(judged, p=self.config.solves, q=self.config.progresses)
 
-    def search(self, successors: DataFrame, starts: DataFrame, solved: Callable[[DataFrame], DataFrame], *, rounds: int | None = None):
-        """Deepen the diagonal search until a solution is found or nothing new is reached: (budget, solutions or None); GaveUp if `rounds` run out first."""
+    def search(self, successors: DataFrame, starts: DataFrame, solved: Callable[[DataFrame], DataFrame], *, rounds: int | None = None, seconds: float | None = None):
+        """Deepen the diagonal search until a solution is found or nothing new is reached: (budget, solutions or None); GaveUp if `rounds` run out first,
+        TimedOut if `seconds` do, TooDeep inside config.nesting others. With config.executions a start executes no more sequences a round."""
         c = self.config
-        return search.iterative(lambda b: search.diagonal(self.spark, successors, starts, budget=b), solved, start=c.start_budget, step=c.budget_step, rounds=rounds)
+
+        def reach(budget: int) -> DataFrame:
+            reached = search.diagonal(self.spark, successors, starts, budget=budget)
+            return reached if c.executions is None else search.executed(reached, c.executions)
+
+        whole = lambda: search.iterative(reach, solved, start=c.start_budget, step=c.budget_step, rounds=rounds)
+        return search.nested(whole if seconds is None else lambda: search.run_within(self.spark, seconds, whole), c.nesting)
+
+    def benchmark(self, lemma: str, should: Callable[[str], bool], seconds: float, action: Callable[[], object]) -> tuple[str, object]:
+        """Run an action for a lemma that is asked for, and kill it config.kill_after_s seconds after its limit."""
+        return search.benchmarked(self.spark, lemma, should, seconds, action, kill_after_s=self.config.kill_after_s)
 
     def evaluate(self, facts: DataFrame, features: DataFrame, protocol: str = "intra") -> DataFrame:
         return evaluation.prequential(facts, features, protocol=protocol, width=self.config.window)

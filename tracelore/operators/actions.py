@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import action_hash
+
 # How node classes are recorded; classes not named here are kept.
 DECOMPOSED = ("Then", "Dispatch", "Extend", "Thens", "Thens3parts", "Select")
 MODES = ("Decompose", "Keep", "Both", "Discard")
@@ -76,6 +78,17 @@ def filled(templates: DataFrame, template: str = "template", args: str = "args")
     return templates.withColumn("filled", F.when(F.size(parts) == F.size(args) + 1, whole))
 
 
+def substituted_hash(arguments: DataFrame, context: DataFrame, hole: str = "_hole") -> DataFrame:
+    """(tree_id, text, hash): an action's arguments with those that its context has not replaced by a hole, and the identity of what is left.
+
+    arguments: (tree_id, ord, arg), one a position; context: (tree_id, name). Actions that differ only in names the context has not are one class.
+    """
+    known = context.select("tree_id", F.col("name").alias("arg"), F.lit(True).alias("__known")).distinct()
+    said = arguments.join(known, ["tree_id", "arg"], "left").withColumn("arg", F.when(F.col("__known"), F.col("arg")).otherwise(F.lit(hole)))
+    rows = F.array_sort(F.collect_list(F.struct("ord", "arg")))
+    return said.groupBy("tree_id").agg(F.array_join(F.transform(rows, lambda x: x["arg"]), " ").alias("text")).withColumn("hash", action_hash(F.col("text")))
+
+
 def abstracted(occurrences: DataFrame) -> DataFrame:
     """Each occurrence of a free variable gets a name of its own, t0, t1, ... in order. occurrences: (tree_id, node_id, name)."""
     w = Window.partitionBy("tree_id").orderBy("node_id")

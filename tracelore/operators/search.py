@@ -176,6 +176,39 @@ def until_unshelved(search_round, goals: DataFrame, rounds: int | None = None) -
             raise GaveUp(f"goals are still shelved after {rounds} rounds")
 
 
+class TooDeep(Exception):
+    """A search inside searches went deeper than is allowed."""
+
+
+def nested(action: Callable[[], object], most: int = 2):
+    """Run a search that may itself search; TooDeep when more than `most` stand inside each other."""
+    depth = getattr(_local, "depth", 0)
+    if depth >= most:
+        raise TooDeep(f"{most} searches stand inside each other already")
+    _local.depth = depth + 1
+    try:
+        return action()
+    finally:
+        _local.depth = depth
+
+
+def executed(reached: DataFrame, most: int, *, start: str = "start") -> DataFrame:
+    """Of each start's sequences (path, spent) the first `most` that a search of rising budget executes: by what is spent, then by path."""
+    w = Window.partitionBy(start).orderBy("spent", "path")
+    return reached.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).drop("__n")
+
+
+def benchmarked(spark: SparkSession, lemma: str, should: Callable[[str], bool], seconds: float, action: Callable[[], object], *, kill_after_s: float = 5.0) -> tuple[str, object]:
+    """("skip", None) for a lemma that is not asked for; else ("found", result), or ("killed", None) if the action has not ended by itself
+    kill_after_s seconds after its own limit."""
+    if not should(lemma):
+        return "skip", None
+    try:
+        return "found", run_within(spark, seconds + kill_after_s, action)
+    except TimedOut:
+        return "killed", None
+
+
 class TimedOut(Exception):
     """The job was cancelled when its time was up."""
 

@@ -312,6 +312,15 @@ def round_trip_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return actions.round_trip_failures(arguments(spark, sf_dir), lossy).select("tree_id", "text")
 
 
+@query(f"""WITH {ARGS}, ctx AS (SELECT DISTINCT l_orderkey AS tree_id, 'S' || l_suppkey AS arg FROM li WHERE l_linestatus = 'O'),
+  h AS (SELECT tree_id, string_agg(CASE WHEN ctx.arg IS NULL THEN '_hole' ELSE one.arg END, ' ' ORDER BY ord) AS text FROM one LEFT JOIN ctx USING (tree_id, arg) GROUP BY tree_id)
+  SELECT tree_id, text, CAST('0x' || substr(md5(text), 1, 8) AS BIGINT) AS hash FROM h""")
+def subst_hash_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the substituting neighbours file an action under: only the suppliers of an order's open lines are in its context."""
+    context = ad.table(spark, sf_dir, "lineitem").where("l_linestatus = 'O'").select(F.col("l_orderkey").alias("tree_id"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("name"))
+    return actions.substituted_hash(actions.one_variable(arguments(spark, sf_dir)).select("tree_id", "ord", "arg"), context)
+
+
 VARS = LINES + """,
   v AS (SELECT l_orderkey AS tree_id, node AS node_id, 'v' || (l_partkey % 5) AS name FROM li),
   b AS (SELECT o_orderkey AS tree_id, 'v' || (o_custkey % 5) AS name, 2 AS first, 4 AS last FROM orders),
