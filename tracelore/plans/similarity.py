@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import features as ft
+from ..functions import trees
 from ..functions.hashing import portable_id, rounded
 from ..operators import forest, model, ranking
 from ..sources import adapters as ad
@@ -87,22 +88,55 @@ def feat_one_line_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ad.table(spark, sf_dir, "documents").select("doc_id", ft.one_line(F.col("text")).alias("line"))
 
 
-@query()
+VOID = ", ".join(f"'{t}'" for t in sorted(trees.VOID))
+#: Elements of pages (e): number in the page, number of the parent, depth, name, target of a link, arguments, last element inside. Open elements are
+#: carried from tag to tag.
+DOM = rf"""
+  m AS (SELECT page_id, list_filter(regexp_extract_all(coalesce(html, ''), '(?s)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|</?[A-Za-z][A-Za-z0-9]*[^>]*>'),
+    lambda x: NOT regexp_matches(x, '(?s)^<!--|^<(script|style)\b[^>]*>.*</(script|style)\s*>$')) AS m FROM pages),
+  u AS (SELECT page_id, unnest(m) AS m, generate_subscripts(m, 1) AS i FROM m),
+  tg AS (SELECT page_id, i, m[2] = '/' AS close, lower(regexp_extract(m, '^</?([A-Za-z][A-Za-z0-9]*)', 1)) AS tag, regexp_extract(m, '(?s)^</?[A-Za-z][A-Za-z0-9]*([^>]*)>$', 1) AS rest FROM u),
+  r AS (SELECT page_id, 0::BIGINT AS i, [0::BIGINT] AS ids, [''] AS names FROM pages
+    UNION ALL SELECT r.page_id, tg.i,
+      CASE WHEN NOT close THEN CASE WHEN tag IN ({VOID}) OR ends_with(rest, '/') THEN ids ELSE list_append(ids, tg.i) END
+           WHEN list_contains(names, tag) THEN ids[1:len(ids) - list_position(list_reverse(names), tag)] ELSE ids END,
+      CASE WHEN NOT close THEN CASE WHEN tag IN ({VOID}) OR ends_with(rest, '/') THEN names ELSE list_append(names, tag) END
+           WHEN list_contains(names, tag) THEN names[1:len(names) - list_position(list_reverse(names), tag)] ELSE names END
+      FROM r JOIN tg ON tg.page_id = r.page_id AND tg.i = r.i + 1),
+  o AS (SELECT page_id, 0::BIGINT AS i, NULL::BIGINT[] AS above, 'page' AS tag, NULL::VARCHAR AS link FROM pages
+    UNION ALL SELECT tg.page_id, tg.i, ids, tag, CASE WHEN regexp_matches(rest, '\b(?:href|src)\s*=\s*["''][^"'']*["'']') THEN regexp_extract(rest, '\b(?:href|src)\s*=\s*["'']([^"'']*)["'']', 1) END
+      FROM tg JOIN r ON r.page_id = tg.page_id AND r.i = tg.i - 1 WHERE NOT close),
+  e AS (SELECT o.page_id, o.i, above[-1] AS parent, coalesce(len(above), 0) AS d, tag, link, coalesce(k, 0) + (link IS NOT NULL)::INT AS args, coalesce(last, o.i) AS last
+    FROM o LEFT JOIN (SELECT page_id, above[-1] AS i, count(*) AS k FROM o GROUP BY ALL) c ON c.page_id = o.page_id AND c.i = o.i
+           LEFT JOIN (SELECT page_id, i, max(j) AS last FROM (SELECT page_id, i AS j, unnest(above) AS i FROM o) GROUP BY ALL) z ON z.page_id = o.page_id AND z.i = o.i),
+  f AS (SELECT e.*, p.tag AS above FROM e LEFT JOIN e p ON p.page_id = e.page_id AND p.i = e.parent)"""
+
+
+@query(rf"""WITH RECURSIVE {DOM},
+  p AS (SELECT page_id, CASE WHEN args > 0 THEN 'Root' || repeat('-AppArg', d) || '-' || tag || ':AppFun' WHEN d = 0 THEN tag || ':Root' ELSE 'Root' || repeat('-AppArg', d - 1) || '-' || tag || ':AppArg' END AS feature
+    FROM e WHERE NOT (d = 0 AND args > 0) AND NOT (d = 1 AND args = 0)
+    UNION ALL SELECT page_id, 'Root' || repeat('-AppArg', d) || '-$' || link || ':AppArg' FROM e WHERE link IS NOT NULL)
+  SELECT page_id AS tree_id, 'Verti' AS kind, feature, count(*) AS cnt FROM p GROUP BY ALL""")
 def dom_vertical_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ad.page_features(spark, sf_dir).where(F.col("kind") == "Verti")
 
 
-@query()
+@query(rf"""WITH RECURSIVE {DOM},
+  p AS (SELECT page_id, unnest(list_filter([tag, tag || '-' || above, '$' || link, '$' || link || '-' || tag], lambda x: x IS NOT NULL)) AS feature FROM f)
+  SELECT page_id AS tree_id, 'Seman' AS kind, feature, count(*) AS cnt FROM p GROUP BY ALL""")
 def dom_semantic_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ad.page_features(spark, sf_dir).where(F.col("kind") == "Seman")
 
 
-@query()
+@query(rf"""WITH RECURSIVE {DOM},
+  t AS (SELECT page_id, i AS a, 0 AS b, 0 AS c, CASE WHEN args = 0 THEN CASE WHEN d <= 3 THEN 'X' END ELSE '(-App' || CASE WHEN d <= 2 THEN '-X' ELSE '' END || '-' || args || CASE WHEN link IS NOT NULL AND d <= 2 THEN '-X' ELSE '' END END AS s FROM e
+    UNION ALL SELECT page_id, last, 1, -d, CASE WHEN d = 3 THEN ')-X' ELSE ')' END FROM e WHERE args > 0)
+  SELECT page_id AS tree_id, 'Struct' AS kind, string_agg(s, '-' ORDER BY a, b, c) AS feature, 1::BIGINT AS cnt FROM t GROUP BY page_id""")
 def dom_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ad.page_features(spark, sf_dir).where(F.col("kind") == "Struct")
 
 
-@query()
+@query(rf"""WITH RECURSIVE {DOM} SELECT page_id AS tree_id, CAST(2 * sum(1 + (args > 0)::INT + (link IS NOT NULL)::INT) - 1 AS BIGINT) AS size FROM e GROUP BY page_id""")
 def dom_term_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ad.page_nodes(spark, sf_dir).groupBy("tree_id").agg((2 * F.count(F.lit(1)) - 1).alias("size"))
 
@@ -331,6 +365,10 @@ def knn_sign_bits_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.knn(features.where(F.col("entry_id") % 100 == 0).withColumnRenamed("entry_id", "query_id"), own, held, weights)
 
 
-@query()
+@query(rf"""WITH RECURSIVE {DOM},
+  n AS (SELECT *, sum(1 + (args > 0)::INT + (link IS NOT NULL)::INT) OVER (PARTITION BY page_id ORDER BY i) AS upto, 1 + (args > 0)::INT + (link IS NOT NULL)::INT AS own FROM e),
+  s AS (SELECT n.page_id, n.args, n.link, n.upto - n.own AS node, z.upto - 1 AS last FROM n JOIN n z ON z.page_id = n.page_id AND z.i = n.last)
+  SELECT page_id AS tree_id, CAST(unnest(list_filter([node, CASE WHEN args > 0 THEN node + 1 END, CASE WHEN link IS NOT NULL THEN node + 2 END], lambda x: x IS NOT NULL)) AS BIGINT) AS node_id,
+    CAST(unnest(list_filter([CASE WHEN args > 0 THEN last ELSE node END, CASE WHEN args > 0 THEN node + 1 END, CASE WHEN link IS NOT NULL THEN node + 2 END], lambda x: x IS NOT NULL)) AS BIGINT) AS last FROM s""")
 def dom_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ad.page_scopes(spark, sf_dir)
