@@ -80,40 +80,54 @@ class Lexicon:
             a.make_automaton()
         return a
 
-    def matcher(self):
-        """A function from text to (sum of the weights of its matches, matches, distinct terms in order)."""
+    def finder(self):
+        """A function from text to its matches (start, term) that stand in no exception phrase."""
         a = self.automaton()
 
-        def match(text: str | None) -> tuple[float, int, list[str]]:
+        def find(text: str | None) -> list[tuple[int, str]]:
             folded = fold(text)
             if not len(a) or not folded:
-                return 0.0, 0, []
+                return []
             hits, shields, n = [], [], len(folded)
             for end, (size, values) in a.iter(folded):
                 start = end - size + 1
                 if start and folded[start - 1].isalpha():
                     continue
                 whole = end + 1 == n or not folded[end + 1].isalpha()
-                for term, weight in values:
+                for term, _ in values:
                     if not term:
                         if whole:
                             shields.append((start, end))
                     elif whole or term.endswith("*"):
-                        hits.append((start, end, term, weight))
+                        hits.append((start, end, term))
+            if not shields:
+                return [(start, term) for start, _, term in hits]
             # of exception phrases that overlap, a hit is inside one if the furthest end of those that begin before it is not before its own
             shields.sort()
             furthest = list(accumulate((e for _, e in shields), max))
-            # at one place in the text only the heaviest of nested terms counts
-            best: dict[int, tuple[float, str]] = {}
-            for start, end, term, weight in hits:
+            out = []
+            for start, end, term in hits:
                 before = bisect_right(shields, start, key=lambda x: x[0])
-                if before and furthest[before - 1] >= end:
-                    continue
-                if (weight, term) > best.get(start, (-1.0, "")):
-                    best[start] = (weight, term)
-            return sum(w for w, _ in best.values()), len(best), sorted({t for _, t in best.values()})
+                if not before or furthest[before - 1] < end:
+                    out.append((start, term))
+            return out
+
+        return find
+
+    def weighed(self, hits: list[tuple[int, str]]) -> tuple[float, int, list[str]]:
+        """(sum of the weights, matches, distinct terms in order) of the matches that are of this lexicon; at one place in the text only the heaviest of nested
+        terms counts."""
+        best: dict[int, tuple[float, str]] = {}
+        for start, term in hits:
+            weight = self.terms.get(term)
+            if weight is not None and (weight, term) > best.get(start, (-1.0, "")):
+                best[start] = (weight, term)
+        return sum(w for w, _ in best.values()), len(best), sorted({t for _, t in best.values()})
 
-        return match
+    def matcher(self):
+        """A function from text to what weighed() gives for its matches."""
+        find = self.finder()
+        return lambda text: self.weighed(find(text))
 
 
 def normalised(weight: float, chars: int) -> float:
@@ -207,7 +221,9 @@ def learn(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str =
     scratch = Scratch(spark, "toxicity")
     # about 12,000 keys of the drawn sample, whatever the input, so that texts need not be shuffled
     part = F.pmod(F.xxhash64("__k", F.lit("part")), F.lit(PARTS)).cast("int").alias("__p")
-    sample = scratch.save(docs.select(F.col(key).alias("__k"), F.col(text).alias("__t")).join(F.broadcast(drawn), "__k").select("__t", "__y", part), "sample")
+    sample = docs.select(F.col(key).alias("__k"), F.col(text).alias("__t")).join(F.broadcast(drawn), "__k").select("__t", "__y", part)
+    # the sample is bounded; dealt anew, its texts are not all where a few input files were
+    sample = scratch.save(sample.repartition(2 * spark.sparkContext.defaultParallelism), "sample")
     places = [(p, y) for p in range(PARTS) for y in (1, 0)]
 
     def count(batches):
@@ -260,17 +276,18 @@ def learn(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str =
 
 
 def weighed_apart(sample: DataFrame, lexicons: dict[tuple[tuple[float, float], int], Lexicon]) -> DataFrame:
-    """(__y, n, weights): each text's length, and its weight under each of CUTS by the lexicon learned without its part."""
+    """(__y, n, weights): each text's length, and its weight under each of CUTS by the lexicon learned without its part. A text is scanned once, for the
+    terms of all of them."""
 
     def run(batches):
-        held: dict[tuple[tuple[float, float], int], object] = {}
+        finders: dict[int, object] = {}
         for b in batches:
             out = []
             for t, p in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
-                for cut in CUTS:
-                    if (cut, p) not in held:
-                        held[cut, p] = lexicons[cut, p].matcher()
-                out.append([held[cut, p](t)[0] for cut in CUTS])
+                if p not in finders:
+                    finders[p] = Lexicon({term: 0.0 for cut in CUTS for term in lexicons[cut, p].terms}).finder()
+                hits = finders[p](t)
+                out.append([lexicons[cut, p].weighed(hits)[0] for cut in CUTS])
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([len(t or "") for t in b.column(0).to_pylist()], pa.int64()), pa.array(out, pa.list_(pa.float64()))], names=["__y", "n", "weights"])
 
     return sample.mapInArrow(run, "__y int, n long, weights array<double>")
