@@ -44,7 +44,7 @@ PARTS = 3
 LETTERS = re.compile(r"[^\W\d_]+")
 SHORTEST = 3
 #: Terms of either class whose counts a task gathers before it passes them on.
-TERMS_HELD = 400_000
+TERMS_HELD = 200_000
 
 
 def fold(text: str | None) -> str:
