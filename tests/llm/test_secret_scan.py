@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import math
 import random
 import re
 
@@ -86,6 +87,44 @@ def test_query_finds_without_forms(spark, sf_dir):
     assert other <= 2
 
 
+def test_models_come_from_every_document(spark):
+    """Pair counts, weights and the cut against plain code over all rows of a table of more than a few thousand."""
+    r = random.Random(5)
+    rows = [(i, " ".join("".join(r.choices("aeioulmnrst", k=r.randint(5, 9))) for _ in range(5)) + (f" {token(i, 5 + i // 100 % 30)}" if i % 100 == 0 else "") + (f" x-{i} token={token(-i)}" if i % 3 == 0 else "")) for i in range(9000)]
+    rows += [(None, rows[7][1]), (None, None), (9001, "")]
+    model = ss.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    strings = {}
+    for _, t in rows:
+        for rule in ss.ASSIGN, ss.ACCESS, ss.HEX:
+            t = re.sub(rule, " ", t or "")
+        for s in set(re.findall(r"[A-Za-z0-9+/_=-]{5,}", t)):
+            strings[s] = strings.get(s, 0) + 1
+    counts = [[[0.0] * ss.SIZE for _ in range(ss.SIZE)] for _ in range(2)]
+    labelled = [(x["s"], 1, 1) for x in ss.random_sample(spark, 2000).collect()] + [(s, 0, n) for s, n in strings.items()] + [(s.upper(), 0, 1) for s in strings]
+    for s, y, n in labelled:
+        for a, b in zip(s, s[1:]):
+            counts[y][ss.ALPHABET.index(a) + 1][ss.ALPHABET.index(b) + 1] += n
+    logs = []
+    for c in counts:
+        single = [(sum(row[j] for row in c) + 0.5) / (sum(map(sum, c)) + 0.5 * ss.SIZE) for j in range(ss.SIZE)]
+        logs.append([math.log((x + ss.PRIOR * p) / (sum(row) + ss.PRIOR)) for row in c for x, p in zip(row, single)])
+    assert model.weights == pytest.approx([a - b for a, b in zip(logs[1], logs[0])], abs=2e-6)
+    # not those that cannot be ordinary
+    over = sorted((x for s in strings if max(ss.TOTAL, ss.MEAN * (len(s) - 1)) <= (x := ratio(model, s)) and math.floor(x) < math.log(len(strings) / ss.FALSE)), reverse=True)
+    allowed = int(ss.FALSE * len(strings))
+    assert 0 < allowed < len(over)
+    assert model.total == math.floor(over[allowed]) + 1
+
+
+def test_frequent_secrets_do_not_raise_the_cut(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    given = spark.createDataFrame([(i, token(i, 24)) for (i,) in docs.where("doc_id % 20 = 0").select("doc_id").collect()], "doc_id long, given string")
+    docs = docs.join(given, "doc_id", "left").select("doc_id", "given", F.concat_ws(" ref ", "text", "given").alias("text"))
+    out = ss.scan(docs.where("given IS NOT NULL"), ss.train(docs), keep=["given"]).collect()
+    assert len(out) == 50
+    assert sum(x["given"] in [s["value"] for s in x["spans"] if s["kind"] == 3] for x in out) >= 49
+
+
 def test_places_values_and_edges(spark, model):
     t = f"é😀 {token(5)}. token={token(6)}"
     docs = spark.createDataFrame([(1, t, 3, 4, 5, 6), (1, t, 3, 4, 5, 6), (None, "x", 4, 4, 5, 6)], "doc_id long, text string, base int, Weight int, __t int, __text int")

@@ -21,9 +21,9 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SIZE = len(ALPHABET) + 1
 #: Stands around matches; in texts that have it, it is first replaced by another private character, so places stay.
 MARK, OTHER = "\ue000", "\ue001"
-#: Least mean log-likelihood ratio a character pair, in nats, and the least cut for the sum, whatever the sample says.
+#: Least mean log-likelihood ratio a character pair, in nats, and the least cut for the sum, whatever the strings say.
 MEAN, TOTAL = 0.5, 8.0
-#: Share of the sample's ordinary strings that may reach the cut, and share of random ones that must for their length to be asked about.
+#: Share of the documents' ordinary strings that may reach the cut, and share of random ones that must for their length to be asked about.
 FALSE, POWER = 1e-4, 0.9
 #: Lengths among which the least one is chosen.
 LENGTHS = range(6, 25)
@@ -124,26 +124,28 @@ def random_sample(spark, n: int) -> DataFrame:
     return spark.range(n).select("id", each.alias("x")).select("id", "x.writing", "x.s")
 
 
-def train(docs: DataFrame, *, text: str = "text", key: str = "doc_id", max_docs: int = 4000, random_strings: int = 2000) -> Markov:
-    """Count pairs of characters in two labelled samples, return the log ratios, and fit what a string must reach.
+def train(docs: DataFrame, *, text: str = "text", random_strings: int = 2000) -> Markov:
+    """Count pairs of characters in random strings and in those of all documents, return the log ratios, and fit what a string must reach.
 
     Labelled random: random_strings strings of each of the writings of random_sample(), none of them from the documents or
-    the rules by form. Labelled ordinary: words, names and numbers, that is the runs of 5 key characters or more in the drawn documents that
-    touch no span by form, as they stand for each place, and once more in capitals. The sample has about max_docs documents, drawn by a hash of the key, or of the text where the key is null. The cut `total` is what no more than the share
-    FALSE of the ordinary strings (each counted once) reach, but TOTAL at least; `least` is the smallest of LENGTHS at which the share POWER of
-    the random strings, cut to that length, reach it (of the writing that does so least).
-    Only the pair counts, at most twice the square of the alphabet, and a few sums reach the driver. Repeated rows are drawn
-    together; null and empty texts hold no words; an empty table leaves the random strings and a uniform ordinary model.
+    the rules by form. Labelled ordinary: words, names and numbers, that is the runs of 5 key characters or more that touch no
+    span by form, in every row of docs, as often as there are rows that have them, and each once more in capitals. The cut
+    `total` is what no more than the share FALSE of the ordinary strings (each counted once) reach, but TOTAL at least;
+    `least` is the smallest of LENGTHS at which the share POWER of the random strings, cut to that length, reach it (of the
+    writing that does so least). Documents have random strings too that no form names, and these must not raise the cut
+    beyond themselves. If the models hold, an ordinary string reaches a ratio r with probability exp(-r) at most, so that any
+    of n strings does with n * exp(-r) at most; where that is below FALSE, a string is not held against the cut.
+    Only the pair counts, at most twice the square of the alphabet, counts of strings by whole ratios from the cut on, and a
+    few sums reach the driver. Repeated rows count each; null and empty texts hold no words; an empty table leaves the
+    random strings and a uniform ordinary model.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("x"))
-    n = rows.count()
-    drawn = rows.where(F.pmod(F.when(F.col("k").isNull(), F.xxhash64("x")).otherwise(F.xxhash64("k")), F.lit(1 << 20)) < F.lit(max_docs / max(1, n) * (1 << 20)))
-    plain = F.translate(F.coalesce(F.col("x"), F.lit("")), MARK, OTHER)
+    plain = F.translate(F.coalesce(F.col(text), F.lit("")), MARK, OTHER)
     for form in (ASSIGN, ACCESS, HEX):
         plain = F.regexp_replace(plain, form, " ")
-    ordinary = drawn.select(F.explode(F.array_distinct(F.regexp_extract_all(plain, F.lit(RUN % 5), F.lit(0)))).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-    ordinary = Scratch(spark, "secrets").save(ordinary, "ordinary", small=True)
+    ordinary = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(plain, F.lit(RUN % 5), F.lit(0)))).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    scratch = Scratch(spark, "secrets")
+    ordinary = scratch.save(ordinary, "ordinary")
     made = random_sample(spark, random_strings)
     label = lambda df, s, y, n: df.select(s.alias("s"), F.lit(y).alias("y"), n.cast("long").alias("n"))
     strings = label(made, F.col("s"), 1, F.lit(1)).unionByName(label(ordinary, F.col("s"), 0, F.col("n"))).unionByName(label(ordinary, F.upper("s"), 0, F.lit(1)))
@@ -161,10 +163,17 @@ def train(docs: DataFrame, *, text: str = "text", key: str = "doc_id", max_docs:
     model = Markov([round(a - b, 6) for a, b in zip(logs[1], logs[0], strict=True)])
     # what the ordinary strings reach
     said = ordinary.withColumn("w", model.array()).select(F.length("s").alias("n"), model.ratio("s", "w").alias("r"))
-    over = said.where((F.col("r") >= TOTAL) & (F.col("r") >= MEAN * (F.col("n") - 1)))
-    allowed = math.floor(FALSE * said.count())
-    top = [r["r"] for r in over.orderBy(F.desc("r")).limit(allowed + 1).collect()]
-    model.total = math.floor(top[allowed]) + 1.0 if len(top) > allowed else TOTAL
+    over = (F.col("r") >= TOTAL) & (F.col("r") >= MEAN * (F.col("n") - 1))
+    tops = {r["top"]: r["n"] for r in said.groupBy(F.when(over, F.floor("r")).alias("top")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    scratch.drop("ordinary")
+    n = sum(tops.values())
+    ordinary_tops = [t for t in tops if t is not None and t < math.log(n / FALSE)]
+    allowed = math.floor(FALSE * n)
+    for top in sorted(ordinary_tops, reverse=True):
+        allowed -= tops[top]
+        if allowed < 0:
+            model.total = top + 1.0
+            break
     # and at which length random ones do
     sized = made.select("writing", F.explode(F.array(*map(F.lit, LENGTHS))).alias("n"), "s").select("writing", "n", F.expr("substring(s, 1, n)").alias("s")).withColumn("w", model.array())
     r = model.ratio("s", "w")
