@@ -253,3 +253,22 @@ def test_normal_form_and_strategies(spark):
     goals, deps = spark.createDataFrame([("g",)], "goal string"), spark.createDataFrame([("g", "a"), ("g", "b")], "src string, dst string")
     done = spark.createDataFrame([("a", True), ("b", False)], "goal string, solved boolean")
     assert rows(search.unsolved(goals, done, deps), "goal") == [("b",)]
+
+
+def test_evaluation_shuffles_instances_and_features_once(spark):
+    """No join of instances by feature: what is shuffled are rows, not pairs; all columns come of one pass."""
+    inst = spark.createDataFrame([(s, s, s // 3, "Original", "ab"[s % 2]) for s in range(1, 30)], "seq long, step long, lemma long, status string, action string")
+    feats = spark.createDataFrame([(s, k, "all") for s in range(1, 30) for k in "xy"], "seq long, kind string, feature string")
+    got = evaluation.compared(inst, feats, {f"{p}-{k}": (p, k) for p in evaluation.PROTOCOLS for k in "xy"}, width=5)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 29 and "Join" not in plan and plan.count("Exchange hashpartitioning") == 2
+
+
+def test_evaluation_with_unknown_values(spark):
+    """What is null was not seen, is no prediction that can be right, and ranks last; an instance without features is ranked too."""
+    kind = "seq long, step long, lemma string, status string, action string"
+    inst = spark.createDataFrame([(1, 1, "l", None, None), (2, 2, None, "Original", "b"), (3, None, "m", "Original", "a"), (4, 4, "n", "Original", "b"), (5, 5, "o", "Original", None)], kind)
+    feats = spark.createDataFrame([(1, "x"), (2, "y"), (4, "x"), (4, "y"), (4, "x")], "seq long, feature string")
+    want = {"intra": [-1, -1, -1, 0, -1], "intrab": [-1, -1, -1, 0, -1], "inter": [-1, -1, -1, -1, -1], "real": [-1, -1, -1, -1, -1]}
+    for protocol, ranks in want.items():
+        assert [r for _, r in rows(evaluation.prequential(inst, feats, protocol=protocol), "seq", "truth_rank")] == ranks, protocol
