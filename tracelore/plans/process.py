@@ -37,9 +37,8 @@ COMPLEX = WIN + """,
   cwin AS (SELECT seq, feature, count(*) OVER (PARTITION BY feature ORDER BY seq RANGE BETWEEN 1000 PRECEDING AND 1 PRECEDING) AS df, least(seq - 1, 1000) AS n FROM cf)"""
 
 
-def evaluated(spark: SparkSession, sf_dir: str, protocol: str, kind: str = "simple") -> DataFrame:
-    features = ad.event_features(spark, sf_dir) if kind == "simple" else ad.event_complex_features(spark, sf_dir)
-    return evaluation.prequential(ad.event_instances(spark, sf_dir), features.select("seq", "feature"), protocol=protocol)
+def evaluated(spark: SparkSession, sf_dir: str, protocol: str) -> DataFrame:
+    return evaluation.prequential(ad.event_instances(spark, sf_dir), ad.event_features(spark, sf_dir).select("seq", "feature"), protocol=protocol)
 
 
 #: Columns of the matrix that have exact neighbours.
@@ -71,11 +70,10 @@ def eval_real(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM {" JOIN ".join(f"{p}_{k}" + (" USING (seq)" if n else "") for n, (p, k) in enumerate(MATRIX))}""")
 def eval_matrix_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Protocols by learners; seq is dense from 1, so it is the row already (evaluation.matrix() numbers rows where it is not)."""
-    out = None
-    for p, k in MATRIX:
-        one = evaluated(spark, sf_dir, p, k).select(F.col("seq").alias("row"), F.col("truth_rank").cast("string").alias(f"{p}-{k}-knn"))
-        out = one if out is None else out.join(one, "row", "full")
-    return out.select("row", *(F.coalesce(F.col(f"`{p}-{k}-knn`"), F.lit("")).alias(f"{p}-{k}-knn") for p, k in MATRIX))
+    kinds = {"simple": ad.event_features(spark, sf_dir), "complex": ad.event_complex_features(spark, sf_dir)}
+    simple, complex_ = (x.select("seq", F.lit(k).alias("kind"), "feature") for k, x in kinds.items())
+    ranks = evaluation.compared(ad.event_instances(spark, sf_dir), simple.unionByName(complex_), {f"{p}-{k}-knn": (p, k) for p, k in MATRIX})
+    return ranks.select(F.col("seq").alias("row"), *(F.coalesce(F.col(f"`{p}-{k}-knn`").cast("string"), F.lit("")).alias(f"{p}-{k}-knn") for p, k in MATRIX))
 
 
 @query(f"WITH {EVT} SELECT entry_id, action, starts_with(user_id::VARCHAR, '1') AS in_file FROM ev")
