@@ -272,3 +272,40 @@ def test_evaluation_with_unknown_values(spark):
     want = {"intra": [-1, -1, -1, 0, -1], "intrab": [-1, -1, -1, 0, -1], "inter": [-1, -1, -1, -1, -1], "real": [-1, -1, -1, -1, -1]}
     for protocol, ranks in want.items():
         assert [r for _, r in rows(evaluation.prequential(inst, feats, protocol=protocol), "seq", "truth_rank")] == ranks, protocol
+
+
+def test_numeric_hashes_are_those_of_md5():
+    import hashlib
+
+    import pyarrow as pa
+
+    from tracelore.functions.hashing import seeded_heads
+
+    tokens = ["", "a", "straße", "x" * 49, "x" * 50, "y" * 51, "z" * 200]
+    want = [[int(hashlib.md5(f"{s}:{t}".encode()).hexdigest()[:8], 16) for s in (0, 7, 10008)] for t in tokens]
+    assert seeded_heads([0, 7, 10008], pa.array(["skip", *tokens])[1:], step=2).tolist() == want
+
+
+def test_forest_ranking_in_parts_is_that_of_all_pairs(spark):
+    """Parts of a few rows each, so that prefixes are cut up; every entry asks."""
+    import random
+
+    r = random.Random(5)
+    acts = [(i, r.choice(["a", "b", None])) for i in range(30)]
+    feats = [(i, w) for i in range(29) for w in {r.choice("klmnopqrst") for _ in range(4)}]
+    e, f = spark.createDataFrame(acts, "entry_id long, action string"), spark.createDataFrame(feats, "entry_id long, feature string")
+    kept = sinks.tables(spark, "test")
+    sigs = kept(forest.signatures(f, e, tries=3, depth=4))
+    q = sigs.withColumnRenamed("entry_id", "query_id")
+    found = forest.candidates(q, sigs, depth=4, most=8).select("query_id", "entry_id").distinct().collect()
+    own, df = {}, {}
+    for i, w in feats:
+        own.setdefault(i, set()).add(w)
+        df[w] = df.get(w, 0) + 1
+    best = {}
+    for k, i in found:
+        key, score = (k, dict(acts)[i]), sum(math.log(31 / (1 + df[w])) for w in own.get(k, set()) & own.get(i, set()))
+        best[key] = max(best.get(key, 0.0), score)
+    got = forest.ranking(q, sigs, f, f, e, kept, depth=4, most=8, part=3)
+    assert {(x["query_id"], x["action"]): x["score"] for x in got.collect()} == pytest.approx(best, abs=1e-6)
+    assert {k for k, _ in best} == set(range(30))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .config import Config
 from .functions.features import idf
 from .operators import evaluation, forest, model, ranking, search
-from .sources.sinks import shown
+from .sources.sinks import shown, tables
 
 
 class Engine:
@@ -53,11 +53,7 @@ class Engine:
         entries = forest.signatures(self.features, self.instances, tries=c.tries, depth=c.depth)
         asked = queries.withColumnRenamed("query_id", "entry_id")
         sigs = forest.signatures(asked, asked.select("entry_id").distinct(), tries=c.tries, depth=c.depth).withColumnRenamed("entry_id", "query_id")
-        found = forest.candidates(sigs, entries, depth=c.depth, most=c.sort_window).select("query_id", "entry_id").distinct()
-        weights = model.document_frequency(self.features, "entry_id").select("feature", idf(F.lit(self.instances.count()), F.col("df")).alias("idf"))
-        met = found.join(queries.join(weights, "feature"), "query_id").join(self.features, ["entry_id", "feature"]).groupBy("query_id", "entry_id").agg(F.sum("idf").alias("score"))
-        scored = found.join(met, ["query_id", "entry_id"], "left").join(self.instances, "entry_id").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 6))
-        best = ranking.ranked(ranking.best_by_class(scored))
+        best = forest.ranking(sigs, entries, queries, self.features, self.instances, tables(self.spark, "forest"), depth=c.depth, most=c.sort_window)
         return best.withColumn("confidence", ranking.rank_confidence(F.col("rank")))
 
     def suggest(self, queries: DataFrame, verdicts: DataFrame | None = None, *, k: int = 10) -> DataFrame:

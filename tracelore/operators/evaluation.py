@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.arrays import spans
+from ..functions.features import idf_of
 from ..functions.hashing import rounded
 from .model import with_context
 
@@ -124,7 +126,7 @@ def shared_rows(seq: np.ndarray, marked: pa.Table, kind: str, width: int) -> tup
     first = np.searchsorted(pairs, code * len(seq) + np.searchsorted(seq, seq[row] - width))
     end = np.arange(len(pairs))
     n = np.minimum(seq[row] - 1, width)
-    weight = np.log((1.0 + n) / (1.0 + (end - first)))
+    weight = idf_of(n, end - first)
     by_row = np.argsort(row, kind="stable")
     met = np.bincount(row, end - first, len(seq)).astype(np.int64)
     return np.searchsorted(row[by_row], np.arange(len(seq) + 1)), first[by_row], end[by_row], weight[by_row], row, met
@@ -141,12 +143,6 @@ def shared_weights(rows: np.ndarray, column: np.ndarray, starts: np.ndarray, fir
     return np.rint(total.reshape(len(rows), len(column)) * 1e6).astype(np.int64)
 
 
-def spans(first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """first, first + 1, ... for each length, one after another."""
-    ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths) + np.repeat(first, lengths)
-
-
 def split(rows: DataFrame, current: str, path: str = "path") -> DataFrame:
     """in_file: whether a row is of the file under evaluation; rows of others are for training only."""
     return rows.withColumn("in_file", F.col(path).startswith(current))
