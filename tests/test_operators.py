@@ -309,3 +309,17 @@ def test_forest_ranking_in_parts_is_that_of_all_pairs(spark):
     got = forest.ranking(q, sigs, f, f, e, kept, depth=4, most=8, part=3)
     assert {(x["query_id"], x["action"]): x["score"] for x in got.collect()} == pytest.approx(best, abs=1e-6)
     assert {k for k, _ in best} == set(range(30))
+
+
+def test_neighbours_are_not_joined_by_feature(spark):
+    """A feature that all queries have must not bring them into one task: the model goes to the queries."""
+    entries = spark.createDataFrame([(1, "all"), (1, "x"), (2, "all")], "entry_id long, feature string")
+    acts = spark.createDataFrame([(1, "A"), (2, "B"), (3, "C"), (3, None)], "entry_id long, action string")
+    weights = spark.createDataFrame([("all", 0.0), ("x", 2.0), ("z", 1.0)], "feature string, idf double")
+    queries = spark.createDataFrame([(7, "all"), (7, "x"), (8, "z"), (9, "all"), (9, None)], "query_id long, feature string")
+    for got in (ranking.knn(queries, entries, acts, weights), ranking.overlap_scores(queries, entries, weights)):
+        assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert rows(ranking.overlap_scores(queries, entries, weights), "query_id", "entry_id", "score") == [(7, 1, 2.0), (7, 2, 0.0), (9, 1, 0.0), (9, 2, 0.0)]
+    assert rows(ranking.knn(queries, entries, acts, weights), "query_id", "rank", "action", "score")[:6] == [(7, 0, "A", 2.0), (7, 1, "B", 0.0), (7, 2, "C", 0.0), (8, 0, "A", 0.0), (8, 1, "B", 0.0), (8, 2, "C", 0.0)]
+    assert rows(ranking.knn(queries, entries, acts, weights, unmet=False), "query_id", "rank", "action") == [(7, 0, "A"), (7, 1, "B"), (9, 0, "A"), (9, 1, "B")]
+    assert ranking.knn(queries, entries.limit(0), acts.limit(0), weights).count() == 0
