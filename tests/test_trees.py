@@ -54,3 +54,22 @@ def test_pages_of_any_depth():
     found = {k for kind, k, _ in trees.complex_features(trees.from_html("<div>" * 300 + "<b>")) if kind == "Verti"}
     assert "-".join(["Root", *["AppArg"] * 300, "b:AppArg"]) in found
     assert len(trees.scopes(t)) == 2 * (n + 1) + 3
+
+
+def test_pages_leave_in_small_batches(spark, tmp_path):
+    """Rows of many pages never stand in one batch, nor does a page that makes more rows than one holds."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tracelore.sources import adapters as ad
+
+    (tmp_path / "pages.parquet").mkdir()
+    pages = ["<div>" + "<p class='a'>x</p>" * n + "</div>" for n in (0, 3, 40)] + [None, ""]
+    pq.write_table(pa.table({"page_id": pa.array(range(5), pa.int64()), "html": pages}), tmp_path / "pages.parquet" / "0.parquet")
+    small = ad.of_pages(spark, str(tmp_path), lambda t: [(sum(1 for _ in ad.trees.nodes(t)), i) for i in range(30)], ad.SCOPES, most=7)
+    sizes = small.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"]) for b in batches), "n long")
+    assert small.count() == 150 and small.distinct().count() == 150
+    assert sizes.agg({"n": "sum"}).first()[0] == 150
+    batches = list(ad.page_nodes(spark, str(tmp_path)).groupBy("tree_id").count().collect())
+    assert {r["tree_id"] for r in batches} == set(range(5))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8 << 20
