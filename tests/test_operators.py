@@ -323,3 +323,15 @@ def test_neighbours_are_not_joined_by_feature(spark):
     assert rows(ranking.knn(queries, entries, acts, weights), "query_id", "rank", "action", "score")[:6] == [(7, 0, "A", 2.0), (7, 1, "B", 0.0), (7, 2, "C", 0.0), (8, 0, "A", 0.0), (8, 1, "B", 0.0), (8, 2, "C", 0.0)]
     assert rows(ranking.knn(queries, entries, acts, weights, unmet=False), "query_id", "rank", "action") == [(7, 0, "A"), (7, 1, "B"), (9, 0, "A"), (9, 1, "B")]
     assert ranking.knn(queries, entries.limit(0), acts.limit(0), weights).count() == 0
+
+
+def test_counts_of_a_row_are_not_shuffled(spark):
+    """Keys that several rows have, null ones too, are added up; the others' tokens stay where they are."""
+    df = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["b"]), (2, ["b", "c"]), (None, ["d"]), (None, ["d", "e", "d"]), (3, []), (4, None)], "i int, f array<string>")
+    got = ft.counted(df, ["i"], "f")
+    assert sorted(map(str, got.collect())) == sorted(map(str, [r for r in spark.createDataFrame([(1, "a", 2), (1, "b", 1), (2, "b", 2), (2, "c", 1), (None, "d", 3), (None, "e", 1)], "i int, feature string, cnt long").collect()]))
+    plain = df.select("i", F.explode("f").alias("feature")).groupBy("i", "feature").agg(F.count(F.lit(1)).alias("cnt"))
+    assert rows(got.where("i is not null"), "i", "feature", "cnt") == rows(plain.where("i is not null"), "i", "feature", "cnt")
+    alone = spark.range(200).select("id", F.array_repeat(F.lit("x"), 5).alias("f"))
+    counts = ft.counted(alone, ["id"], "f")
+    assert counts.where("cnt = 5").count() == 200 and "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
