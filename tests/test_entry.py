@@ -31,3 +31,15 @@ def test_query_agrees_with_sql(spark, sf_dir, sql, name):
     want = sql.sql(f"SELECT {', '.join(f'"{c}"' for c in columns)} FROM ({plans.SQL[name]})").fetchall()
     norm = lambda r: tuple(f"{float(v):.5f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r)
     assert sorted(map(norm, rows)) == sorted(map(norm, want))
+
+
+def test_rebinding_compares_only_lines_of_orders_asked_about(spark, sf_dir, monkeypatch):
+    """What goes into the comparison are lines of the orders asked about and of those before them, not all lines."""
+    from tracelore.operators import ranking
+
+    seen = {}
+    monkeypatch.setattr(ranking, "rebound", lambda uses, stored, current, weights, f=ranking.rebound: seen.update(stored=stored, current=current) or f(uses, stored, current, weights))
+    plans.QUERIES["subst_rebind_orders"](spark, sf_dir).count()
+    for frame, key, rest in ((seen["stored"], "entry_id", 99), (seen["current"], "query_id", 0)):
+        assert {r[0] % 100 for r in frame.select(key).distinct().collect()} == {rest}
+        assert "lineitem" not in frame._jdf.queryExecution().executedPlan().toString()
