@@ -335,3 +335,9 @@ def test_counts_of_a_row_are_not_shuffled(spark):
     alone = spark.range(200).select("id", F.array_repeat(F.lit("x"), 5).alias("f"))
     counts = ft.counted(alone, ["id"], "f")
     assert counts.where("cnt = 5").count() == 200 and "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+
+
+def test_candidates_are_joined_in_as_many_tasks_as_a_shuffle_has(spark):
+    e = spark.createDataFrame([(i, 0, "01"[i % 2] * 2) for i in range(9)], "entry_id long, trie int, signature string")
+    got = forest.candidates(e.withColumnRenamed("entry_id", "query_id"), e, depth=2, most=3)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 2
